@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ravelin.shipping import ship
+
 #: Internal row number. One is given to each row, so that repeated or null ids stay separate rows.
 RID = "__ravelin_rid"
 
@@ -45,6 +47,12 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def through_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow for functions of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def arrow_columns(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]], fields: list[T.StructField], drop: tuple[str, ...] = (), rows: int = 2048
 ) -> DataFrame:
@@ -68,7 +76,7 @@ def arrow_columns(
                 new = work(part)
                 yield pa.RecordBatch.from_arrays([new[n] if n in new else part.column(part.schema.get_field_index(n)) for n in want], names=want)
 
-    return df.mapInArrow(run, schema)
+    return through_arrow(df, run, schema)
 
 
 def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, rows: int = 2048) -> DataFrame:
@@ -84,7 +92,7 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return through_arrow(df, run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
