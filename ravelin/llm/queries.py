@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.llm import langid, media, packing, quality, secrets, simhash
+from ravelin.llm import langid, lm, media, packing, pieces, pii, quality, secrets, simhash, substring
 from ravelin.llm.common import RID, numbered, read_documents
 
 
@@ -33,6 +33,14 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_rows(read_documents(spark, sf_dir))
+
+
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_documents(spark, sf_dir))
+
+
 def op7_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_documents(spark, sf_dir))
 
@@ -41,6 +49,14 @@ def op8_language_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_rows(read_documents(spark, sf_dir))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passage_rows(read_documents(spark, sf_dir))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(read_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     """Queries by name, in the order of the operators."""
     found = [f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()]
