@@ -72,8 +72,13 @@ class Pieces:
     def setup(self, unknown: int) -> None:
         self.unknown = unknown
         self.longest = max(map(len, self.pieces), default=1)
-        self.starts = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
         self.missing = min((s for _, s in self.pieces.values()), default=0.0) - 10
+        self.tree: dict = {}
+        for piece, found in self.pieces.items():
+            node = self.tree
+            for character in piece:
+                node = node.setdefault(character, {})
+            node[0] = found
         self.pairs = {p[n : n + 2] for p in self.pieces for n in range(len(p) - 1)}
         self.apart = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.known: dict[str, tuple[int, ...]] = {}
@@ -84,18 +89,20 @@ class Pieces:
 
     def _stream(self, text: str) -> Iterator[list[int]]:
         """Lists of final ids, in order."""
-        pieces, starts, longest = self.pieces, self.starts, self.longest
+        tree, longest = self.tree, self.longest
         best: dict[int, float] = {0: 0.0}
         back: dict[int, tuple[int, tuple[int, ...]]] = {}
         final, n = 0, len(text)
         for at in range(n):
             score = best.pop(at)
             alone = False
-            for end in range(at + 1, min(n, at + longest) + 1):
-                piece = text[at:end]
-                if piece not in starts:
+            node, end = tree, at
+            for character in text[at : at + longest]:
+                node = node.get(character)
+                if node is None:
                     break
-                found = pieces.get(piece)
+                end += 1
+                found = node.get(0)
                 if found is not None:
                     alone = alone or end == at + 1
                     total = score + found[1]
@@ -114,29 +121,30 @@ class Pieces:
 
     def _part(self, text: str) -> tuple[int, ...]:
         """_stream for a text that its window holds whole."""
-        pieces, starts, n = self.pieces, self.starts, len(text)
+        pieces, n = self.pieces, len(text)
         if n == 1:
             found = pieces.get(text)
             return (found[0],) if found else self.spelled(text)
-        worth: list = [None] * (n + 1)
+        worth = [_NEVER] * (n + 1)
         back: list = [None] * (n + 1)
         worth[0] = 0.0
+        tree = self.tree
         for at in range(n):
             score = worth[at]
-            if score is None:
+            if score == _NEVER:
                 continue
-            end = at + 1
-            while end <= n:
-                piece = text[at:end]
-                if piece not in starts:
+            node, end = tree, at
+            for character in text[at:]:
+                node = node.get(character)
+                if node is None:
                     break
-                found = pieces.get(piece)
+                end += 1
+                found = node.get(0)
                 if found is not None:
                     total = score + found[1]
-                    if worth[end] is None or total > worth[end]:
+                    if total > worth[end]:
                         worth[end], back[end] = total, (at, found[0])
-                end += 1
-            if text[at] not in pieces and (worth[at + 1] is None or score + self.missing > worth[at + 1]):
+            if text[at] not in pieces and score + self.missing > worth[at + 1]:
                 worth[at + 1], back[at + 1] = score + self.missing, (at, None)
         out: list[int] = []
         while n:
@@ -209,6 +217,7 @@ class Pieces:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+_NEVER = float("-inf")
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _models: dict[str, Pieces] = {}
 
@@ -220,6 +229,13 @@ def model_at(path: str) -> Pieces:
     return _models[path]
 
 
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """The lists of a column as views of its values; None for null."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for k, valid in enumerate(column.is_valid().to_pylist()):
+        yield values[offsets[k] : offsets[k + 1]] if valid else None
+
+
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with ids_col, array<int>. Null and empty texts have no ids. A column of that name is replaced."""
 
@@ -236,40 +252,37 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     return arrow_columns(docs, make, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], rows=512)
 
 
-def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """rows with text_col, the text of ids_col; null ids give null. A column of that name is replaced."""
+def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded", sum_col: str | None = None) -> DataFrame:
+    """rows with text_col, the text of ids_col, in its place; null ids give null. A column of that name is replaced.
+
+    sum_col, where it is given, is the CRC-32 of the ids as little-endian unsigned 32-bit numbers.
+    """
+    fields = [T.StructField(text_col, T.StringType())] + ([T.StructField(sum_col, T.LongType())] if sum_col else [])
 
     def make():
         model = model_at(model_path)
 
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            column = batch.column(batch.schema.get_field_index(ids_col))
-            return {text_col: pa.array([None if x is None else model.decode(x) for x in column.to_pylist()], pa.string())}
+            lists = list(_lists(batch.column(batch.schema.get_field_index(ids_col))))
+            out = {text_col: pa.array([None if x is None else model.decode(x.tolist()) for x in lists], pa.string())}
+            if sum_col:
+                out[sum_col] = pa.array([None if x is None else zlib.crc32(np.ascontiguousarray(x, "<u4")) for x in lists], pa.int64())
+            return out
 
         return work
 
-    return arrow_columns(rows, make, [T.StructField(text_col, T.StringType())], rows=512)
+    return arrow_columns(rows.withColumn("n_ids", F.size(ids_col).cast("long")) if sum_col else rows, make, fields, drop=(ids_col,) if sum_col else (), rows=512)
 
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_chars, n_ids, ids_crc32 (little-endian unsigned 32-bit ids), decoded_sha256 and round_trip: whether the
     decoded text is the given one, with marks read as spaces."""
-
-    def make():
-        def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            sums = [zlib.crc32(np.asarray(x.values, dtype="<u4").tobytes()) for x in lists]
-            return {"ids_crc32": pa.array(sums, pa.int64())}
-
-        return work
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = decode(encode(rows, model_path), model_path)
-    out = arrow_columns(whole, make, [T.StructField("ids_crc32", T.LongType())], rows=512)
+    out = decode(encode(rows, model_path), model_path, sum_col="ids_crc32")
     return out.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
-        F.size("ids").cast("long").alias("n_ids"),
+        "n_ids",
         "ids_crc32",
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.replace("text", F.lit(MARK), F.lit(" "))).alias("round_trip"),
