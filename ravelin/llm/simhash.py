@@ -35,6 +35,8 @@ SHINGLE = 3
 DISTANCE = 2
 #: Up to so many members a bucket is verified in one array.
 BUCKET = 256
+#: Distinct fingerprints whose keys one task makes; a fingerprint has some 40 keys.
+PRINTS_OF_TASK = 20_000
 #: (first bit, bits) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -161,7 +163,8 @@ def _keys(prints: DataFrame) -> DataFrame:
 
         return work
 
-    return arrow_rows(prints.select("fp"), make, "key long, fp long")
+    tasks = max(1, -(-prints.count() // PRINTS_OF_TASK))
+    return arrow_rows(prints.select("fp").repartition(tasks, "fp"), make, "key long, fp long")
 
 
 def spanning_links(prints: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
