@@ -213,12 +213,15 @@ def _gray_pixels(bits: Bits, group: list[PrefixCode], width: int, total: int) ->
     while at < total:
         chain: list[int] = []
         add = chain.append
-        for _ in range(total - at):
-            step = sizes[p]
-            if not step:
-                break
-            add(p)
-            p += step
+        try:
+            for _ in range(total - at):
+                step = sizes[p]
+                if not step:
+                    break
+                add(p)
+                p += step
+        except IndexError:
+            p = limit + 1
         if p > limit:
             raise ValueError("the image ends too early")
         if chain:
