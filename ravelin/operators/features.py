@@ -102,7 +102,13 @@ def spec_features(fuzzy: bool = False) -> dict[str, Column]:
     return name_features(fuzzy) | address_features(fuzzy) | number_features() | semantic_features() | rare_features() | structure_features()
 
 
-SPEC_ORDER = tuple(spec_features())
+SPEC_ORDER = (
+    "name_exact", "name_translit_exact", "name_core_exact", "name_compact_exact", "name_ratio", "name_sort_ratio", "name_set_ratio", "name_weighted_ratio",
+    "name_jaccard", "name_length_ratio", "address_exact", "address_translit_exact", "address_ratio", "address_set_ratio", "address_jaccard",
+    "address_length_ratio", "house_exact", "house_normalized_exact", "house_conflict", "postal_exact", "postal_conflict", "numeric_shared",
+    "numeric_jaccard", "numeric_conflict", "address_missing_1", "address_missing_2", "house_missing", "dense_cosine", "ann_rank", "ann_hit",
+    "shared_block_count", "rare_name_overlap", "rare_address_overlap", "target_source", "family_size", "siblings",
+)
 
 
 def light_features(fuzzy: bool = False) -> dict[str, Column]:
