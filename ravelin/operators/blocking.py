@@ -19,6 +19,25 @@ CHANNELS = EXACT + NUMERIC + RARE
 _SEP = "\u0001"
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df over twice a session's partitions by a key. A small side that a join multiplies must not end in one task, where
+    adaptive execution would put it by its size; with another number than the session's, Spark can't take the step for one
+    that an exchange before it has done already."""
+    spark = df.sparkSession
+    return df.repartition(2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *columns)
+
+
+def bit_of(name: Column, names: tuple[str, ...]) -> Column:
+    """Each name's bit: sets of names are kept as numbers, which aggregate without objects."""
+    return F.coalesce(*(F.when(name == n, F.lit(1 << k)) for k, n in enumerate(names)))
+
+
+def names_of(bits: Column, names: tuple[str, ...]) -> Column:
+    """The names of a set, in ascending order."""
+    each = F.array(*(F.when(bits.bitwiseAND(F.lit(1 << names.index(n))) != 0, F.lit(n)) for n in sorted(names)))
+    return F.filter(each, lambda x: x.isNotNull())
+
+
 def _pair(*parts: Column) -> Column:
     return F.concat_ws(_SEP, *parts)
 
@@ -122,8 +141,10 @@ def candidates(queries: DataFrame, targets: DataFrame, channels: tuple[str, ...]
     for more in right[1:]:
         held = held.unionByName(more)
     on = (["country"] if settings.same_country else []) + ["channel", "key"]
-    hits = asked.withColumnRenamed("id", "s1_id").join(held.withColumnRenamed("id", "target_id"), on)
-    return hits.groupBy("s1_id", "target_id").agg(F.array_sort(F.collect_set("channel")).alias("blocks"), F.countDistinct("channel").alias("block_count"), F.sum("weight").alias("rare_w"))
+    asked = spread(asked.withColumn("bit", bit_of(F.col("channel"), CHANNELS)), "id")
+    hits = asked.withColumnRenamed("id", "s1_id").join(held.drop("weight").withColumnRenamed("id", "target_id"), on)
+    merged = hits.groupBy("s1_id", "target_id").agg(F.bit_or("bit").alias("bits"), F.sum("weight").alias("rare_w"))
+    return merged.select("s1_id", "target_id", names_of(F.col("bits"), CHANNELS).alias("blocks"), F.bit_count("bits").cast("long").alias("block_count"), "rare_w")
 
 
 def family_counts(normalized: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ravelin.config import Lists, Retrieval
 from ravelin.functions import numbers, text
 from ravelin.functions.similarity import jaccard
-from ravelin.operators.blocking import idf
+from ravelin.operators.blocking import bit_of, idf, names_of, spread
 
 
 def token_rows(records: DataFrame, tokens: Column) -> DataFrame:
@@ -41,7 +41,7 @@ def idf_search(queries: DataFrame, targets: DataFrame, query_tokens: Column, tar
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
     asked = asked.withColumn("place", place).filter(F.col("place") <= (most or settings.query_tokens))
     postings = held.join(indexed.select("country", "token"), ["country", "token"], "left_semi")
-    hits = asked.select(F.col("id").alias("s1_id"), "country", "token", "idf").join(postings.withColumnRenamed("id", "target_id"), ["country", "token"])
+    hits = spread(asked.select(F.col("id").alias("s1_id"), "country", "token", "idf"), "s1_id").join(postings.withColumnRenamed("id", "target_id"), ["country", "token"])
     return top(hits.groupBy("s1_id", "target_id").agg(F.sum("idf").alias("score")), k)
 
 
@@ -127,7 +127,7 @@ def numeric_lists(queries: DataFrame, targets: DataFrame, settings: Lists = List
 
     place = F.row_number().over(Window.partitionBy("country", "kind", "key").orderBy("id"))
     held = keys(targets).drop("w").withColumn("place", place).filter(F.col("place") <= settings.numeric_cap).drop("place")
-    hits = keys(queries).withColumnRenamed("id", "s1_id").join(held.withColumnRenamed("id", "target_id"), ["country", "kind", "key"])
+    hits = spread(keys(queries).withColumnRenamed("id", "s1_id"), "s1_id").join(held.withColumnRenamed("id", "target_id"), ["country", "kind", "key"])
     return top(hits.groupBy("s1_id", "target_id").agg(F.sum("w").alias("score")), settings.numeric_top)
 
 
@@ -140,7 +140,7 @@ def char_lists(queries: DataFrame, targets: DataFrame, column: str = "name_norm"
     indexed = rare.select("country", "token", idf(F.col("df"), F.col("n")).alias("idf"))
     asked = token_rows(queries, text.char_grams(F.col(column))).join(indexed, ["country", "token"])
     postings = held.join(indexed.select("country", "token"), ["country", "token"], "left_semi")
-    hits = asked.withColumnRenamed("id", "s1_id").join(postings.withColumnRenamed("id", "target_id"), ["country", "token"])
+    hits = spread(asked.withColumnRenamed("id", "s1_id"), "s1_id").join(postings.withColumnRenamed("id", "target_id"), ["country", "token"])
     return top(hits.groupBy("s1_id", "target_id").agg(F.sum("idf").alias("score")), settings.char_top)
 
 
@@ -150,8 +150,8 @@ def union_lists(lists: dict[str, DataFrame], settings: Lists = Lists()) -> DataF
     for name, found in lists.items():
         part = found.select("s1_id", "target_id", F.lit(name).alias("block"), F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"))
         rows = part if rows is None else rows.unionByName(part)
-    merged = rows.groupBy("s1_id", "target_id").agg(
-        F.countDistinct("block").alias("n"), F.max("score").alias("best_score"), F.min("rank").alias("best_rank"), F.array_sort(F.collect_set("block")).alias("blocks")
-    )
+    names = tuple(lists)
+    bits = rows.withColumn("bit", bit_of(F.col("block"), names)).groupBy("s1_id", "target_id").agg(F.bit_or("bit").alias("bits"), F.max("score").alias("best_score"), F.min("rank").alias("best_rank"))
+    merged = bits.select("s1_id", "target_id", F.bit_count("bits").cast("long").alias("n"), "best_score", "best_rank", names_of(F.col("bits"), names).alias("blocks"))
     order = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("n"), F.desc("best_score"), "best_rank", "target_id"))
     return merged.withColumn("order", order)
