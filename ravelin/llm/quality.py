@@ -115,4 +115,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     joined = rows.join(hosts, "host").withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & ~F.col("host_failed")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host", "host_rate", "host_failed")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host", F.round("host_rate", 6).alias("host_rate"), "host_failed")

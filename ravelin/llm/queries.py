@@ -63,5 +63,25 @@ def queries() -> dict:
     return {f.__name__: f for f in sorted(found, key=lambda f: int(f.__name__[2:].split("_")[0]))}
 
 
+#: The quality rules for DuckDB: measures from split words and lines, windows by position, the beta prior by moments.
+QUALITY_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, i, ws[i] || chr(31) || ws[i + 1] || chr(31) || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS k FROM g) WHERE k > 1) GROUP BY rid),
+m AS (SELECT w.rid, doc_id, host, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r ON w.rid = r.rid),
+f AS (SELECT host, {', '.join(f"CAST({rule} AS INT) AS {name}" for name, rule in quality.RULES.items())} FROM m),
+h AS (SELECT host, count(*) AS n, {', '.join(f"sum({k}) AS {k}" for k in quality.RULES)} FROM f GROUP BY host),
+p AS (SELECT {', '.join(f"avg({k} / CAST(n AS DOUBLE)) AS {k}_m, var_pop({k} / CAST(n AS DOUBLE)) AS {k}_v" for k in quality.RULES)} FROM h),
+q AS (SELECT *, {', '.join(f"CASE WHEN {k}_v > 0 AND {k}_m * (1 - {k}_m) > {k}_v THEN {k}_m * (1 - {k}_m) / {k}_v - 1 ELSE {quality.PRIOR_WEIGHT} END AS {k}_w" for k in quality.RULES)} FROM p),
+v AS (SELECT host, greatest({', '.join(f"({k} + {k}_m * {k}_w) / (n + {k}_w)" for k in quality.RULES)}) AS host_rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT host_rate > {quality.HOST_LIMIT} AS kept, m.host, round(host_rate, 6) AS host_rate, host_rate > {quality.HOST_LIMIT} AS host_failed
+FROM m JOIN v ON m.host = v.host
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the method: the other operators need hashes, models, codes or search that it lacks."""
+    return {"op7_quality_hosts": QUALITY_SQL}

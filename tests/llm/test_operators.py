@@ -370,6 +370,19 @@ def test_quality(table):
     assert all(not r.kept or not r.base_failed for r in got)
 
 
+def test_quality_sql(spark):
+    import duckdb
+
+    from ravelin.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        want = con.execute(sql).df()
+        got = queries.queries()[name](spark, "/root/testdata/sf0.01").toPandas()[list(want.columns)]
+        assert sorted(map(repr, got.values.tolist())) == sorted(map(repr, want.values.tolist()))
+
+
 def test_bad_hosts(spark):
     good = " ".join(f"w{k}" for k in range(80))
     rows = [(k, "short", "bad.example") for k in range(60)] + [(100, good, "bad.example")] + [(200 + h * 20 + k, good, f"good{h}.example") for h in range(5) for k in range(20)] + [(500, "short", "good0.example")]
