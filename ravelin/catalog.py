@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.queries import base, blocking, decisions, features, scalars, sources  # noqa: F401  (importing registers)
+from ravelin.queries import base, blocking, decisions, features, more, scalars, sources  # noqa: F401  (importing registers)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

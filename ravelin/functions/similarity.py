@@ -54,5 +54,6 @@ def hashed_counts(tokens: Column, size: int = 256) -> Column:
             F.concat(a, F.array(F.struct(i.alias("i"), F.lit(1).alias("n"))))
         ),
     )
-    by_place = F.map_from_entries(counted)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(by_place, i), F.lit(0)).cast("double"))
+    # bound as a lambda's variable, so that the map is made once and not for each place
+    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0)).cast("double"))
+    return F.element_at(F.transform(F.array(F.map_from_entries(counted)), dense), 1)
