@@ -1,7 +1,8 @@
 """Personal data by candidate gradient boosting.
 
 Generators with high recall propose spans, which may overlap: the base patterns (mail addresses, IPv4 addresses, card
-numbers, phone numbers with a plus) and looser ones (number groups of any layout, spelled-out mail addresses). Boosted
+numbers, phone numbers with a plus) and looser ones (number groups of any layout, tokens with four digits and more,
+spelled-out mail addresses). Boosted
 trees judge each candidate by features of its format and of its context. They are trained on candidates of a bounded
 sample of texts; a candidate counts as true where a base pattern confirms it. The threshold is calibrated on a part of
 the candidates that training hasn't seen, so that the share of true ones above it reaches PRECISION. Base spans are
@@ -27,7 +28,7 @@ from ravelin.llm.common import arrow_columns, arrow_rows, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds.
-MORE = ("number", "contact")
+MORE = ("number", "contact", "identifier")
 #: Expected number of texts in the training sample, and the most candidates that come to the driver.
 SAMPLE_TEXTS = 20_000
 SAMPLE_CANDIDATES = 30_000
@@ -44,6 +45,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NUMBER = re.compile(r"\+?\(?[0-9](?:[ ().\-/]{0,3}[0-9])+")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}|(?<= )at(?= )) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|(?<= )dot(?= )) ?[A-Za-z0-9-]{1,63}){1,8}")
+_TOKEN = re.compile(r"[A-Za-z0-9+][A-Za-z0-9._/:@+-]{3,63}")
 _SPELLED_HINT = re.compile(r"[(\[{]at[)\]}]| at .{1,70} dot ")
 _DIGITS = re.compile(r"[^0-9]+")
 _HAS_DIGIT = re.compile("[0-9]").search
@@ -111,9 +113,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def loose_spans(text: str) -> list[tuple[int, int, int]]:
-    """(4 or 5, start, end): candidates of the looser generators."""
+    """(4, 5 or 6, start, end): candidates of the looser generators. They may overlap each other and base spans."""
     out = []
     if _HAS_DIGIT(text):
+        for m in _TOKEN.finditer(text):
+            if _HAS_DIGIT(m.group()) and len(_DIGITS.sub("", m.group())) >= 4:
+                out.append((6, *m.span()))
         for m in _NUMBER.finditer(text):
             if m.end() - m.start() >= 7 and 7 <= sum(c.isdigit() for c in m.group()) <= 24:
                 out.append((4, *m.span()))
