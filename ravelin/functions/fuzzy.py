@@ -7,6 +7,7 @@ by bit-parallel addition on whole-string integers.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -16,19 +17,26 @@ from ravelin.functions.text import given
 from ravelin.shipping import ship
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    if not a or not b:
-        return 0
-    places: dict[str, int] = {}
+def _places(a: str) -> dict[str, int]:
+    """Each character's places in a string as bits."""
+    out: dict[str, int] = {}
     for k, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << k
-    whole = (1 << len(a)) - 1
+        out[c] = out.get(c, 0) | 1 << k
+    return out
+
+
+def _lcs(places: dict[str, int], size: int, b: str) -> int:
+    whole = (1 << size) - 1
     row = whole
     for c in b:
         hit = row & places.get(c, 0)
         row = (row + hit | row - hit) & whole
-    return len(a) - row.bit_count()
+    return size - row.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    return _lcs(_places(a), len(a), b) if a and b else 0
 
 
 def ratio(a: str, b: str) -> float:
@@ -58,19 +66,28 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string with a stretch of the longer one, of its length or cut off at an end."""
+    """The best ratio of the shorter string with a stretch of the longer one, of its length or cut off at an end.
+
+    A stretch has no longer common subsequence than it shares characters, counted with repeats; only stretches that could
+    beat the best so far are measured.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n, letters, best = len(a), set(a), 0.0
+    n, best, places = len(a), 0.0, _places(a)
+    room = {c: p.bit_count() for c, p in places.items()}
+    shared = 0
     for end in range(1, len(b) + n):
-        piece = b[max(0, end - n) : end]
-        edge = piece[-1] if end <= len(b) else piece[0]
-        if edge in letters:
-            best = max(best, ratio(a, piece))
-            if best == 100.0:
-                break
+        if end <= len(b) and (c := b[end - 1]) in room:
+            shared += room[c] > 0
+            room[c] -= 1
+        if end > n and (c := b[end - n - 1]) in room:
+            room[c] += 1
+            shared -= room[c] > 0
+        start, stop = max(0, end - n), min(end, len(b))
+        if 200.0 * shared / (n + stop - start) > best:
+            best = max(best, 200.0 * _lcs(places, n, b[start:stop]) / (n + stop - start))
     return best
 
 
@@ -89,16 +106,18 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(best, scale * partial_ratio(a, b), 0.95 * scale * tokens)
 
 
+@lru_cache(None)
+def _remembered(name: str) -> Callable[[str, str], float]:
+    """A ratio that keeps its last results for as long as a worker lives: names repeat in candidate pairs."""
+    return lru_cache(1 << 17)(globals()[name])
+
+
 def _column(of: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
+    name = of.__name__
+
     def make(a: Column, b: Column) -> Column:
         def run(x: pa.Array, y: pa.Array) -> pa.Array:
-            seen: dict[tuple, float] = {}
-            out = []
-            for pair in zip(x.to_pylist(), y.to_pylist(), strict=True):
-                if pair not in seen:
-                    seen[pair] = of(*pair)
-                out.append(seen[pair])
-            return pa.array(out, pa.float64())
+            return pa.array(list(map(_remembered(name), x.to_pylist(), y.to_pylist())), pa.float64())
 
         ship(SparkSession.active())
         return F.arrow_udf(run, "double")(given(a), given(b))

@@ -40,6 +40,8 @@ def featured(queries: DataFrame, targets: DataFrame, found: DataFrame, k: int, f
     """The k best pairs of each entity with all features; features come after the limit."""
     pairs = candidates.sides(found, queries, targets)
     top = candidates.ranked(pairs, k, candidates.prescore(settings.ranking))
+    if fuzzy:  # few rows by size, but each costs Python time
+        top = blocking.spread(top, "s1_id")
     family = blocking.family_counts(targets).withColumnRenamed("id", "target_id")
     return features.with_features(top.join(family, "target_id", "left"), features.spec_features(fuzzy), ("s1_id", "target_id", "block_rank", "name_norm_1", "name_norm_2", "name_core_1", "name_core_2", "house_number_1", "house_number_2", "postal_candidate_1", "postal_candidate_2"))
 

@@ -105,7 +105,7 @@ def light(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fea9_light_26_fuzzy")
 def light_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(_full_pairs(spark, sf_dir).withColumn("bscore", F.lit(None).cast("double")), features.light_features(fuzzy=True))
+    return _plain(blocking.spread(_full_pairs(spark, sf_dir), "s1_id").withColumn("bscore", F.lit(None).cast("double")), features.light_features(fuzzy=True))
 
 
 _digits = lambda n: f"length(regexp_replace(concat(name_norm_{n}, address_norm_{n}), '[^0-9]', '', 'g'))"
@@ -139,7 +139,7 @@ def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fea11_lexical_18_fuzzy")
 def lexical_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(ranked_pairs(spark, sf_dir), features.lexical_features(fuzzy=True))
+    return _plain(blocking.spread(ranked_pairs(spark, sf_dir), "s1_id"), features.lexical_features(fuzzy=True))
 
 
 _chars = lambda n: f"list_filter(string_split({n}, ''), lambda w: w <> '')"
