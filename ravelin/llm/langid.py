@@ -23,6 +23,8 @@ UNDETERMINED = "und"
 PROFILE = 400
 TEXT_PROFILE = 300
 BOUNDARY = 1
+#: Texts whose n-grams are sorted at once; a text of 3,000 characters has 70 kB of them.
+LEARN_ROWS = 512
 
 _letters: np.ndarray | None = None
 
@@ -123,7 +125,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
         return work
 
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = arrow_rows(rows, make, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = arrow_rows(rows, make, "lang string, gram long, n long", rows=LEARN_ROWS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     by_lang: dict[str, list[int]] = {}
     for row in counts.withColumn("place", place).filter(F.col("place") <= size).orderBy("lang", "place").select("lang", "gram").collect():
