@@ -27,6 +27,11 @@ def weights(targets: DataFrame, rows: DataFrame, df_cap: int) -> DataFrame:
     return df.join(F.broadcast(sizes), "country").select("country", "token", "df", idf(F.col("df"), F.col("n")).alias("idf"))
 
 
+def _total(weight: str) -> Column:
+    """A sum of weights to nine places: the order of addition must not decide between equal scores."""
+    return F.round(F.sum(weight), 9).alias("score")
+
+
 def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The k best targets of each s1_id."""
     place = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc(score), "target_id"))
@@ -42,7 +47,7 @@ def idf_search(queries: DataFrame, targets: DataFrame, query_tokens: Column, tar
     asked = asked.withColumn("place", place).filter(F.col("place") <= (most or settings.query_tokens))
     postings = held.join(indexed.select("country", "token"), ["country", "token"], "left_semi")
     hits = spread(asked.select(F.col("id").alias("s1_id"), "country", "token", "idf"), "s1_id").join(postings.withColumnRenamed("id", "target_id"), ["country", "token"])
-    return top(hits.groupBy("s1_id", "target_id").agg(F.sum("idf").alias("score")), k)
+    return top(hits.groupBy("s1_id", "target_id").agg(_total("idf")), k)
 
 
 def name_and_address(prefix: str = "") -> Column:
@@ -63,7 +68,7 @@ def multi_pass(queries: DataFrame, targets: DataFrame, settings: Retrieval = Ret
     named = best.withColumn("most", most).join(queries.select(F.col("entity_id").alias("s1_id"), F.col("name_tokens").alias("n1")), "s1_id").join(targets.select(F.col("entity_id").alias("target_id"), F.col("name_tokens").alias("n2")), "target_id")
     share = F.when(F.col("most") > 0, F.col("score") / F.col("most")).otherwise(0.0)
     mixed = settings.score_weight * share + settings.name_weight * jaccard(F.col("n1"), F.col("n2"))
-    return top(named.select("s1_id", "target_id", mixed.alias("score")), k)
+    return top(named.select("s1_id", "target_id", F.round(mixed, 9).alias("score")), k)
 
 
 def boosters(queries: DataFrame, targets: DataFrame, found: DataFrame, settings: Retrieval = Retrieval()) -> DataFrame:
@@ -141,7 +146,7 @@ def char_lists(queries: DataFrame, targets: DataFrame, column: str = "name_norm"
     asked = token_rows(queries, text.char_grams(F.col(column))).join(indexed, ["country", "token"])
     postings = held.join(indexed.select("country", "token"), ["country", "token"], "left_semi")
     hits = spread(asked.withColumnRenamed("id", "s1_id"), "s1_id").join(postings.withColumnRenamed("id", "target_id"), ["country", "token"])
-    return top(hits.groupBy("s1_id", "target_id").agg(F.sum("idf").alias("score")), settings.char_top)
+    return top(hits.groupBy("s1_id", "target_id").agg(_total("idf")), settings.char_top)
 
 
 def union_lists(lists: dict[str, DataFrame], settings: Lists = Lists()) -> DataFrame:

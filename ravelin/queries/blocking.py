@@ -96,7 +96,7 @@ def _search_sql(query_column: str, target_column: str, most: int, k: int, cap: i
 {name}_w AS (SELECT h.country, tok, count(*) AS df, ln(max(n) / CAST(1 + count(*) AS DOUBLE)) AS idf FROM {name}_h h JOIN (SELECT country_norm AS country, count(*) AS n FROM tg GROUP BY 1) s ON h.country = s.country GROUP BY h.country, tok HAVING count(*) <= {cap}),
 {name}_q AS (SELECT * FROM (SELECT q.id, q.country, q.tok, idf, row_number() OVER (PARTITION BY q.id ORDER BY df, q.tok) AS place FROM (SELECT DISTINCT id, country, tok FROM (SELECT entity_id AS id, country_norm AS country, unnest({query_column}) AS tok FROM s1) x {long}) q JOIN {name}_w w ON q.country = w.country AND q.tok = w.tok) WHERE place <= {most}),
 {name}_s AS (SELECT q.id AS s1_id, h.id AS target_id, sum(idf) AS score FROM {name}_q q JOIN {name}_h h ON q.country = h.country AND q.tok = h.tok GROUP BY 1, 2),
-{name} AS (SELECT s1_id, target_id, round(score, 6) AS score, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 9) DESC, target_id) AS place FROM {name}_s) WHERE place <= {k})"""
+{name} AS (SELECT s1_id, target_id, round(round(score, 9), 6) AS score, place AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 9) DESC, target_id) AS place FROM {name}_s) WHERE place <= {k})"""
 
 
 _BOTH = "list_concat(name_tokens, address_tokens)"
@@ -193,10 +193,20 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.union_lists({"exact": exact, "numeric": retrieval.numeric_lists(s1, targets), "rare": retrieval.rare_lists(s1, targets, "name_tokens", 120), "translit": retrieval.translit_lists(s1, targets)})
 
 
-@query("jn_v3_union")
+_UNION = f"""WITH {_search_sql('name_tokens', 'name_tokens', 12, 120, 2000, 'f', 2)},
+k AS (SELECT entity_id AS id, country_norm AS country, 0 AS kind, CASE WHEN name_norm <> '' AND address_norm <> '' THEN name_norm || chr(1) || address_norm ELSE '' END AS key FROM norm UNION ALL SELECT entity_id, country_norm, 1, name_norm FROM norm UNION ALL SELECT entity_id, country_norm, 2, address_norm FROM norm),
+eh AS (SELECT a.id AS s1_id, b.id AS target_id, min(a.kind) AS kind FROM k a JOIN k b ON a.country = b.country AND a.kind = b.kind AND a.key = b.key AND a.key <> '' WHERE a.id LIKE 'S1-%' AND b.id NOT LIKE 'S1-%' GROUP BY 1, 2),
+nk AS (SELECT entity_id AS id, country_norm AS country, 'p' AS kind, postal_candidate AS key, 3.0 AS w FROM norm UNION ALL SELECT entity_id, country_norm, 'h', house_number, 1.5 FROM norm UNION ALL SELECT entity_id, country_norm, 's', numeric_signature, 2.0 FROM norm),
+nh AS (SELECT a.id AS s1_id, b.id AS target_id, CAST(sum(a.w) AS DOUBLE) AS score FROM nk a JOIN nk b ON a.country = b.country AND a.kind = b.kind AND a.key = b.key AND a.key <> '' WHERE a.id LIKE 'S1-%' AND b.id NOT LIKE 'S1-%' GROUP BY 1, 2),
+a AS (SELECT 'exact' AS block, s1_id, target_id, 10.0::DOUBLE AS score, row_number() OVER (PARTITION BY s1_id ORDER BY kind, target_id) AS place, 50 AS most FROM eh UNION ALL SELECT 'numeric', s1_id, target_id, score, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id), 40 FROM nh
+  UNION ALL SELECT 'rare', s1_id, target_id, score, rank, 120 FROM f UNION ALL SELECT 'translit', s1_id, target_id, 0.8 * score, rank, 120 FROM f)
+SELECT s1_id, target_id, count(*) AS n, round(max(score), 3) AS best_score, min(place) AS best_rank, string_agg(block, ',' ORDER BY block) AS blocks FROM a WHERE place <= most GROUP BY 1, 2"""
+
+
+@query("jn_v3_union", _UNION)
 def union_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _lists(spark, sf_dir)
-    return found.select("s1_id", "target_id", "n", F.round("best_score", 6).alias("best_score"), F.col("best_rank").cast("long").alias("best_rank"), F.array_join("blocks", ",").alias("blocks"), F.col("order").cast("long").alias("place"))
+    return found.select("s1_id", "target_id", "n", F.round("best_score", 3).alias("best_score"), F.col("best_rank").cast("long").alias("best_rank"), F.array_join("blocks", ",").alias("blocks"))
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravelin.functions import tables as word_lists
 from ravelin.functions import text
 from ravelin.operators import blocking, candidates, features, metrics, normalize
-from ravelin.queries.base import both_sides, query, sql_jaccard
+from ravelin.queries.base import both_sides, query, sql_basic, sql_jaccard, sql_map, sql_strip, sql_tokens
 from ravelin.queries.blocking import ranked_pairs
 from ravelin.sources import roles
 
@@ -21,8 +22,8 @@ def _j(name: str, empty: str = "1.0") -> str:
     return sql_jaccard(f"{name}_1", f"{name}_2", empty)
 
 
-def _sql(columns: dict[str, str], source: str = "ranked WHERE block_rank < 22") -> str:
-    return "SELECT s1_id, target_id, " + ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in columns.items()) + f" FROM {source}"
+def _sql(columns: dict[str, str], source: str = "ranked WHERE block_rank < 22", places: int = 6) -> str:
+    return "SELECT s1_id, target_id, " + ", ".join(f"round(CAST({v} AS DOUBLE), {places}) AS {k}" for k, v in columns.items()) + f" FROM {source}"
 
 
 _eq = lambda n: f"CAST({n}_1 <> '' AND {n}_1 = {n}_2 AS INT)"
@@ -98,7 +99,26 @@ def _full_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.sides(found, s1, targets, columns)
 
 
-@query("fea9_light_26")
+_both_lists = lambda n: f"len(list_intersect({n}_1, {n}_2)) > 0"
+_HOUSES = r"list_filter(regexp_extract_all(' ' || regexp_replace(business_name || ' ' || business_address, '([, .])', '\1\1', 'g') || ' ', '[ ,.]([0-9]{1,6}[a-zA-Z]?(?:[/-][0-9]{1,6}[a-zA-Z]?)?)[ ,.]', 1), lambda w: w <> '')[1:8]"
+_LEGAL = ", ".join(f"'{w}'" for w in word_lists.FULL_LEGAL_SUFFIXES)
+_FULL = f"""f0 AS (SELECT r.entity_id, n.country_norm, array_to_string(list_transform({sql_tokens(sql_basic('business_name'))}, lambda w: {sql_map('w', word_lists.NAME_EXPANSIONS)}), ' ') AS name_norm,
+  array_to_string(list_transform({sql_tokens(sql_basic('business_address'))}, lambda w: {sql_map('w', word_lists.ADDRESS_EXPANSIONS)}), ' ') AS address_norm, {_HOUSES} AS house_numbers, n.numeric_tokens,
+  list_sort(list_distinct(list_filter(regexp_extract_all(business_address, '(\\d+)', 1), lambda w: length(w) IN (5, 6)))) AS postal_candidates, n.address_missing FROM records r JOIN norm n ON r.entity_id = n.entity_id),
+f AS MATERIALIZED (SELECT *, array_to_string(list_filter({sql_tokens('name_norm')}, lambda w: w NOT IN ({_LEGAL})), ' ') AS name_core, {sql_strip('name_norm', word_lists.FULL_LEGAL_SUFFIXES)} AS name_compact, {sql_tokens('name_norm')} AS name_tokens, {sql_tokens('address_norm')} AS address_tokens FROM f0),
+fp AS (SELECT a.entity_id AS s1_id, b.entity_id AS target_id, {', '.join(f'a.{c} AS {c}_1, b.{c} AS {c}_2' for c in ('name_norm', 'name_core', 'name_compact', 'name_tokens', 'address_norm', 'address_tokens', 'house_numbers', 'numeric_tokens', 'postal_candidates', 'address_missing', 'country_norm'))}
+  FROM f a JOIN f b ON a.country_norm = b.country_norm AND a.name_core = b.name_core WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%')"""
+_grams9 = lambda n: f"CASE WHEN {n} = '' THEN [] ELSE list_distinct(list_transform(range(1, length('#' || {n} || '#') - 1), lambda i: substr('#' || {n} || '#', i, 3))) END"
+_LIGHT = {"name_exact": _eq("name_norm"), "name_core_exact": _eq("name_core"), "name_compact_exact": _eq("name_compact")} | {f"name_{k}": _j("name_tokens") for k in ("ratio", "sort", "set", "partial", "jaccard")}
+_LIGHT |= {"name_trigram": sql_jaccard(_grams9("name_norm_1"), _grams9("name_norm_2")), "name_length_ratio": _len("name_norm"), "address_exact": _eq("address_norm")}
+_LIGHT |= {f"address_{k}": _j("address_tokens") for k in ("ratio", "sort", "set", "jaccard")} | {"address_trigram": sql_jaccard(_grams9("address_norm_1"), _grams9("address_norm_2")), "address_length_ratio": _len("address_norm")}
+_LIGHT |= {
+    "numeric_jaccard": _j("numeric_tokens", "0.0"), "numeric_shared": _shared("numeric_tokens"), "postal_overlap": f"CAST({_both_lists('postal_candidates')} AS INT)", "house_overlap": f"CAST({_both_lists('house_numbers')} AS INT)",
+    "country_same": _eq("country_norm"), "address_missing_1": "address_missing_1", "address_missing_2": "address_missing_2", "target_source": "CAST(target_id LIKE 'S3-%' AS INT)", "bscore": "0.0",
+}
+
+
+@query("fea9_light_26", f"WITH {_FULL} {_sql(_LIGHT, 'fp')}")
 def light(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(_full_pairs(spark, sf_dir).withColumn("bscore", F.lit(None).cast("double")), features.light_features())
 
@@ -163,7 +183,15 @@ def block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(rows, features.block_features()).select("s1_id", "target_id", "exact_name", "rare_name", "block_support", "best_rank", "best_score", "numeric")
 
 
-@query("fea16_all_63")
+_ENTITY = {
+    "cand_rank": "rank() OVER (PARTITION BY s1_id ORDER BY prescore DESC)", "score_gap": "max(prescore) OVER (PARTITION BY s1_id) - prescore", "n_cands": "count(*) OVER (PARTITION BY s1_id)",
+    "n_strong": "count(*) FILTER (WHERE strong) OVER (PARTITION BY s1_id)", "evidence_diversity": "len(list_distinct(flatten(list(blocks) OVER (PARTITION BY s1_id))))",
+}
+_ALL = {f"basic_{k}": v for k, v in _BASIC.items()} | {f"lexical_{k}": v for k, v in _LEXICAL.items()} | {f"address_{k}": v for k, v in _DETAIL.items()}
+_ALL |= {k: "0.0" for k in ("e5_name_score", "e5_full_score", "e5_max", "e5_mean", "e5_gap", *features.EVIDENCE, "bscore")} | {"block_support": "block_count", "best_rank": "block_rank", "best_score": "prescore"} | _ENTITY
+
+
+@query("fea16_all_63", _sql(_ALL, "(SELECT *, prescore >= 0.5 * max(prescore) OVER (PARTITION BY s1_id) AS strong FROM ranked WHERE block_rank < 22)", 4))
 def all_63(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.entity_features(ranked_pairs(spark, sf_dir), "prescore")
     more = {k: F.lit(None).cast("double") for k in ("e5_name_score", "e5_full_score", "e5_max", "e5_mean", "e5_gap", "bscore")} | {k: F.lit(None).cast("int") for k in features.EVIDENCE}
@@ -171,7 +199,7 @@ def all_63(spark: SparkSession, sf_dir: str) -> DataFrame:
     entity = {k: F.col(k) for k in ("cand_rank", "score_gap", "n_cands", "n_strong", "evidence_diversity")}
     made = {f"basic_{k}": v for k, v in features.basic_features().items()} | {f"lexical_{k}": v for k, v in features.lexical_features().items()}
     made |= {f"address_{k}": v for k, v in features.address_detail_features().items()} | features.e5_features() | features.block_features() | entity
-    return _plain(rows, made)
+    return _plain(rows, made, 4)
 
 
 @query("fea21_miss_kinds", f"SELECT CASE WHEN n >= 0.5 AND a >= 0.5 THEN 'both' WHEN n >= 0.5 THEN 'name' WHEN a >= 0.5 THEN 'address' ELSE 'neither' END AS kind, count(*) AS n FROM (SELECT {_j('name_tokens')} AS n, {_j('address_tokens')} AS a FROM ranked WHERE block_rank < 22) GROUP BY 1")
