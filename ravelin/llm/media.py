@@ -78,7 +78,7 @@ def store(docs: DataFrame, text_col: str = "text", media_col: str = "media", siz
 
         return work
 
-    return arrow_columns(docs, make, [T.StructField(media_col, T.BinaryType()), T.StructField(size_col, T.LongType())], drop=() if text_col == media_col else (), rows=256)
+    return arrow_columns(docs, make, [T.StructField(media_col, T.BinaryType()), T.StructField(size_col, T.LongType())], drop=(text_col,), rows=256)
 
 
 def read_back(media: DataFrame, media_col: str = "media") -> DataFrame:
