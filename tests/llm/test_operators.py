@@ -474,6 +474,26 @@ def test_near_passage(spark):
     assert len(found) == 1 and found[0].start_word == 7 and found[0].end_word == 127 and 0.8 <= found[0].similarity < 1
 
 
+def brute_similarity(a, b):
+    x, y = (Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (a, b))
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def test_keys_of_near_passages():
+    """Whatever the place of the edits, two stretches that are similar enough have a key in common."""
+    words = [f"k{n}" for n in range(51)]
+    for k in range(5, 46):
+        for new in ([], ["new"], ["new", "newer"]):
+            changed = [*words[:k], *new, *words[k + 1 :]]
+            assert brute_similarity(words, changed) < 0.8 or substring.anchors_of(" ".join(words)).keys() & substring.anchors_of(" ".join(changed)).keys(), (k, new)
+    words = [f"m{n}" for n in range(110)]
+    for j in range(5, 100):
+        for k in range(j + 1, 105):
+            changed = [w if n not in (j, k) else "new" for n, w in enumerate(words)]
+            if brute_similarity(words, changed) >= 0.8:
+                assert substring.anchors_of(" ".join(words)).keys() & substring.anchors_of(" ".join(changed)).keys(), (j, k)
+
+
 def test_windows_by_definition():
     import numpy as np
 
