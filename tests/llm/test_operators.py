@@ -494,6 +494,38 @@ def test_keys_of_near_passages():
                 assert substring.anchors_of(" ".join(words)).keys() & substring.anchors_of(" ".join(changed)).keys(), (j, k)
 
 
+def found_in(a, b):
+    return substring.verify(substring.word_hashes(" ".join(a)), substring.word_hashes(" ".join(b)))[0]
+
+
+def test_edits_and_moves():
+    """Passages are found whole wherever brute-force similarity allows, over close, long and moved edits."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(200)]
+    two = [w if k not in (48, 51) else "new" for k, w in enumerate(words[:100])]
+    long = words[:90] + [f"n{k}" for k in range(16)] + words[106:]
+    moved = words[:40] + words[55:110] + words[40:55] + words[110:]
+    cases = [(words[:100], two), (words, long), (words, moved), (words[:120], words[20:120] + words[:20])]
+    for _ in range(150):
+        a = words[: rng.randint(60, 200)]
+        b = list(a)
+        for _ in range(rng.randint(1, 3)):
+            at, n = rng.randrange(6, len(b) - 12), rng.randint(0, 6)
+            b[at : at + n] = [f"r{rng.random()}" for _ in range(rng.randint(0, 6))]
+        cases.append((a, b))
+    tried = 0
+    for a, b in cases:
+        if len(b) >= 50 and brute_similarity(a, b) >= 0.8:
+            tried += 1
+            for x, y in ((a, b), (b, a)):
+                got = found_in([*"pqrst", *x, "end"], [*"uvw", *y, "stop"])
+                assert [p[:4] for p in got] == [(5, 5 + len(x), 3, 3 + len(y))], got
+                assert got[0][4] == pytest.approx(brute_similarity(x, y))
+    assert tried > 50
+
+
 def test_windows_by_definition():
     import numpy as np
 
