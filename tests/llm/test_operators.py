@@ -466,6 +466,24 @@ def test_star_around_a_stranger(spark):
     assert [(r.start_word, r.end_word) for r in found] == [(60, 130)]
 
 
+@pytest.mark.parametrize("lines", [1, 2])
+def test_near_star_around_strangers(spark, lines):
+    """Earlier rows have only the lines that a near passage of two later rows is made of."""
+    pad = lambda p, n=60: " ".join(f"{p}{k}" for k in range(n))
+    parts = [pad(f"line{k}x", 70 // lines - 8) for k in range(lines)]
+    if lines == 1:
+        parts = [pad("left", 24), pad("line", 20), pad("right", 25)]
+        early = [parts[1]]
+    else:
+        early = parts
+    near = [" ".join(parts), f" {'x ' * (lines == 2)}".join(parts)] if lines == 2 else [" ".join(parts), " ".join(parts).replace("line10 ", "other ")]
+    texts = [f"{pad(f'a{k}')} {line} {pad(f'b{k}')}" for k, line in enumerate(early)]
+    texts += [f"{pad(f'c{k}')} {passage} {pad(f'd{k}')}" for k, passage in enumerate(near)]
+    found = check_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+    size = len(near[1].split())
+    assert [(r.start_word, r.end_word) for r in found] == [(60, 60 + size)] and found[0].similarity < 1
+
+
 def test_near_passage(spark):
     words = [f"w{k}" for k in range(120)]
     changed = words[:60] + ["other"] + words[61:]
