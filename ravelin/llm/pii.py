@@ -4,9 +4,12 @@ Generators with high recall propose spans, which may overlap: the base patterns
 numbers, phone numbers with a plus) and looser ones (number groups of any layout, tokens with four digits and more,
 spelled-out mail addresses). Boosted
 trees judge each candidate by features of its format and of its context. They are trained on candidates of a bounded
-sample of texts; a candidate counts as true where a base pattern confirms it. The threshold is calibrated on a part of
-the candidates that training hasn't seen, so that the share of true ones above it reaches PRECISION. Base spans are
-always reported; other candidates are reported where they pass the threshold and touch no base span.
+sample of texts. A candidate counts as true where a base pattern confirms it or where it has a known format that no base
+pattern has (spelled-out mail addresses, national phone numbers, account numbers with right check digits); as false where
+neither its format nor the words before it speak for it; the others are unlabelled and left out. The threshold is calibrated
+on looser candidates that training hasn't seen and that touch no base span, so that the share of true ones above it reaches
+PRECISION. Base spans are always reported; other candidates are reported where they pass the threshold and touch no base
+span.
 
 All patterns run in time linear in the text: each has one anchor (an at sign, a plus, the first digit of a run) and no
 nested repeats.
@@ -52,6 +55,15 @@ _HAS_DIGIT = re.compile("[0-9]").search
 _CONTEXT = (re.compile(r"mail|contact|write|@", re.I), re.compile(r"tel|phone|call|fax|mobile|whatsapp", re.I), re.compile(r"card|visa|master|credit|payment|iban|account", re.I), re.compile(r"\bip\b|host|server|address|addr", re.I))
 
 
+#: Known formats beyond the base patterns. National numbers: area code in parentheses, three groups, or a leading zero.
+_BRACKETED = re.compile(r"[(\[{]at[)\]}]")
+_LAST_LABEL = re.compile(r"(?:\.|\(dot\)|\[dot\]|\bdot\b) ?([A-Za-z]{2,24})$")
+_NATIONAL = re.compile(r"\([0-9]{2,5}\) ?[0-9]{3,4}[ .-]?[0-9]{3,5}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}|0[0-9]{1,5}(?:[ /-][0-9]{2,8}){1,4}")
+_LOCAL_NUMBER = re.compile(r"[0-9](?:[ ()/-]{0,2}[0-9]){6,14}")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)[0-9]{2}")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -141,7 +153,7 @@ def features(text: str, start: int, end: int) -> list[float]:
     return [
         end - start, len(digits), len(groups), max(groups, default=0), min(groups, default=0), float(np.std(groups)) if groups else 0.0,
         letters, span.count("."), span.count("-"), span.count(" "), span.count("(") + span.count(")"), span.count("/"),
-        float("@" in span or "(at)" in span or "[at]" in span), float(span[:1] == "+"),
+        float("@" in span or "[at]" in span or "(at)" in span or "{at}" in span or " at " in span), float(span[:1] == "+"),
         float(len(digits) > 1 and luhn("".join(digits))), float(len(parts) == 4 and all(p.isascii() and p.isdigit() and _small(p) for p in parts)),
         float(before[-1:].isalnum()), float(after[:1].isalnum()),
         *(float(bool(p.search(before))) for p in _CONTEXT),
@@ -183,8 +195,9 @@ class Booster:
         return 1 / (1 + np.exp(-np.clip(a * self.margin(x) + b, -30, 30)))
 
     @classmethod
-    def train(cls, x: np.ndarray, y: np.ndarray, seed: int = 11) -> Booster | None:
-        """None where the rows hold only one class. Each third row is kept for calibration."""
+    def train(cls, x: np.ndarray, y: np.ndarray, seed: int = 11, loose: np.ndarray | None = None) -> Booster | None:
+        """None where the rows hold only one class. Each third row is kept for calibration, of which only those that are
+        `loose` set the threshold."""
         if len(y) < 30 or y.min() == y.max():
             return None
         order = np.random.default_rng(seed).permutation(len(y))
@@ -201,7 +214,7 @@ class Booster:
             tree = cls._tree(bins, y[used] - p, p * (1 - p) + 1e-9)
             self.trees.append(tree)
             total += RATE * tree[2][cls._leaf(tree, bins)]
-        self._calibrate(x[held], y[held])
+        self._calibrate(x[held], y[held], np.ones(len(held), bool) if loose is None else loose[held])
         return self
 
     @staticmethod
@@ -225,7 +238,7 @@ class Booster:
         g, h = np.bincount(leaf, gradient, leaves), np.bincount(leaf, weight, leaves)
         return split, at, np.clip(g / (h + 1), -4, 4)
 
-    def _calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+    def _calibrate(self, x: np.ndarray, y: np.ndarray, loose: np.ndarray) -> None:
         m = self.margin(x)
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton steps with a weak pull towards (1, 0)
@@ -238,21 +251,43 @@ class Booster:
             if abs(da) + abs(db) < 1e-6:
                 break
         self.scale = (float(a), float(b))
-        p = self.probability(x)
+        p, y = self.probability(x)[loose], y[loose]
         order = np.argsort(-p, kind="stable")
         share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
         good = np.flatnonzero(share >= PRECISION)
         self.threshold = max(0.5, float(p[order[good[-1]]])) if len(good) else 2.0
 
 
+def evidence(text: str, kind: int, start: int, end: int) -> int | None:
+    """Whether a looser candidate is personal data, by what no base pattern looks at; None where nothing tells."""
+    span, before = text[start:end], text[max(0, start - 40) : start]
+    cues = [bool(p.search(before)) for p in _CONTEXT]
+    if text[start - 1 : start].isalnum() or text[end : end + 1].isalnum() or _DATE.match(span):
+        return 0
+    if kind == 5:
+        return 1 if _LAST_LABEL.search(span) and (_BRACKETED.search(span) or re.search(r"\bdot\b", span)) else None
+    if kind != 5:
+        digits = len(_DIGITS.sub("", span))
+        if 8 <= digits <= 15 and _NATIONAL.fullmatch(span) or cues[1] and 7 <= digits <= 15 and _LOCAL_NUMBER.fullmatch(span.strip("+")):
+            return 1
+    if kind == 6 and _IBAN.fullmatch(span):
+        return int(int("".join(str(int(c, 36)) for c in span[4:] + span[:4])) % 97 == 1)
+    return None if any(cues) else 0
+
+
 def training_rows(texts: list[str]) -> tuple[list[list[float]], list[int]]:
-    """Features of all candidates, and whether a base pattern confirms each."""
+    """Features of all labelled candidates, and 0 (not personal), 1 (personal, by a known format) or 2 (touches a base span)."""
     x, y = [], []
     for text in texts:
         base = base_spans(text)
-        for kind, start, end in base + loose_spans(text):
-            x.append(features(text, start, end))
-            y.append(int(kind < 4 or overlaps((kind, start, end), base)))
+        spans = base + loose_spans(text)
+        labels = [2 if s[0] < 4 or overlaps(s, base) else evidence(text, *s) for s in spans]
+        real = [s for s, label in zip(spans, labels, strict=True) if label == 1]
+        for (kind, start, end), label in zip(spans, labels, strict=True):
+            # a part of a real one isn't false
+            if label is not None and (label or not overlaps((kind, start, end), real)):
+                x.append(features(text, start, end))
+                y.append(label)
     return x, y
 
 
@@ -273,7 +308,8 @@ def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Bo
     got = arrow_rows(rows.select("text"), make, "key long, x array<double>, y int").orderBy("key", "y").limit(SAMPLE_CANDIDATES).collect()
     if not got:
         return None
-    return Booster.train(np.array([r.x for r in got]), np.array([r.y for r in got], np.float64))
+    y = np.array([r.y for r in got])
+    return Booster.train(np.array([r.x for r in got]), (y > 0).astype(np.float64), loose=y < 2)
 
 
 def find(text: str | None, booster: Booster | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
