@@ -228,20 +228,25 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     reached over links of at most two differing bits; it is null only where all ids of a group are null. Repeated rows
     stay; empty tables give empty tables; other columns of docs play no part.
     """
+    return _groups(docs, id_col, text_col).drop("root")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicate_groups with the fingerprint `root` of each row's component, which tells components apart where ids
+    are null or repeated."""
     rows = settle(fingerprints(docs, id_col, text_col))
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     joined = components(links(prints)).withColumnRenamed("node", "fp")
     named = prints.join(joined, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select(RID, "doc_id", "fp", "component_id")
+    return rows.join(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "fp").select(RID, "doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group, that of the least id (of several rows with it, the first by row number)."""
     rows = numbered(docs)
-    groups = near_duplicate_groups(rows, id_col, text_col)
-    # a null id comes last; groups without any id are told apart by their fingerprints' root, which component_id lacks
+    groups = _groups(rows, id_col, text_col)
+    # a null id comes last
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", RID)
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    first = groups.groupBy(group.alias("g")).agg(F.min(order).alias("o")).select(F.col(f"o.{RID}").alias(RID))
+    first = groups.groupBy("root").agg(F.min(order).alias("o")).select(F.col(f"o.{RID}").alias(RID))
     return rows.join(first, RID, "left_semi").select(*docs.columns)

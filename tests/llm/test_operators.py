@@ -93,6 +93,14 @@ def test_simhash(table):
     assert bag(got, lambda r: (r.doc_id, r.fp % 2**64, r.component_id)) == sorted(tuple(map(repr, x)) for x in zip([d for d, _ in rows], prints, groups, strict=True))
 
 
+def test_keep_one_with_repeated_ids(spark):
+    """Texts that nothing links stay apart, though their groups have the same least id."""
+    texts = [" ".join(f"{p}{k}" for k in range(40)) for p in "ab"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(rows_of(kept)) == sorted(rows[:2])
+
+
 def test_keep_one(odd_docs, no_docs):
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
