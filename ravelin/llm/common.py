@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -12,8 +14,12 @@ from pyspark.sql import types as T
 
 from ravelin.shipping import ship
 
+#: What internal columns' names begin with; see sheltered.
+INTERNAL = "__"
 #: Internal row number. One is given to each row, so that repeated or null ids stay separate rows.
 RID = "__ravelin_rid"
+#: A Python function gets so many bytes of rows at once at most, or one row.
+BATCH_BYTES = 32 << 20
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -25,28 +31,83 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Only a local session may do without: it gets a folder of the
+    driver's own, which no other machine could reach."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"ravelin-{purpose}-")
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and returns it without its lineage.
 
-    The folder is the one that the session names in spark.checkpoint.dir. Only where that is unset, as in
-    single-machine tests, a folder of the driver's own is made.
+    Spark removes the files with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ravelin-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint(eager=True)
 
 
+#: Plan nodes whose rows come in the same order and partitions whenever they are made.
+_STEADY = {"Project", "Filter", "LogicalRDD", "LocalRelation", "LogicalRelation", "RelationV2", "DataSourceV2ScanRelation", "Range", "SubqueryAlias", "OneRowRelation"}
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    """df with RID, which is unique and the same in every run over the same files."""
+    """df with RID, which is unique and the same however often the result is made.
+
+    A scan gives its rows in the same order and partitions each time. Rows of any other plan (a shuffle, a join, a sort) are
+    written first, so that a task that runs again can't number them otherwise.
+    """
+    nodes = re.findall(r"^[\s:+|-]*(\w+)", df._jdf.queryExecution().optimizedPlan().toString(), re.M)
+    if not {n for n in nodes if n != "Relation"} <= _STEADY:
+        df = settle(df)
     return df.drop(RID).withColumn(RID, F.monotonically_increasing_id())
 
 
+def sheltered(work: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function of a table and column names that adds internal columns for a while: columns of the table whose names could
+    clash with these have others meanwhile."""
+
+    @functools.wraps(work)
+    def run(docs: DataFrame, *names, **more) -> DataFrame:
+        clash = [c for c in docs.columns if c.startswith(INTERNAL)]
+        if not clash:
+            return work(docs, *names, **more)
+        taken = {c.lower() for c in docs.columns}
+        away: dict[str, str] = {}
+        for c in clash:
+            k = len(away)
+            while f"kept{k}" in taken:
+                k += len(clash)
+            taken.add(f"kept{k}")
+            away[c] = f"kept{k}"
+        swap = lambda x: away.get(x, x) if isinstance(x, str) else x
+        out = work(docs.withColumnsRenamed(away), *map(swap, names), **{k: swap(x) for k, x in more.items()})
+        return out.withColumnsRenamed({new: old for old, new in away.items()})
+
+    return run
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def slices(whole: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most so many rows, and of BATCH_BYTES or one row."""
+    at = 0
+    while at < whole.num_rows:
+        n = min(rows, whole.num_rows - at)
+        while n > 1 and whole.slice(at, n).nbytes > BATCH_BYTES:
+            n //= 2
+        yield whole.slice(at, n)
+        at += n
+
+
 def through_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow for functions of this package."""
     ship(df.sparkSession)
@@ -71,8 +132,7 @@ def arrow_columns(
         for whole in batches:
             if work is None:
                 work = make()
-            for at in range(0, whole.num_rows, rows):
-                part = whole.slice(at, rows)
+            for part in slices(whole, rows):
                 new = work(part)
                 yield pa.RecordBatch.from_arrays([new[n] if n in new else part.column(part.schema.get_field_index(n)) for n in want], names=want)
 
@@ -87,8 +147,8 @@ def arrow_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
         for whole in batches:
             if work is None:
                 work = make()
-            for at in range(0, whole.num_rows, rows):
-                out = work(whole.slice(at, rows))
+            for part in slices(whole, rows):
+                out = work(part)
                 if out is not None and out.num_rows:
                     yield out
 
