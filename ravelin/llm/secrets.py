@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import RID, numbered, settle, text_or_empty
+from ravelin.llm.common import RID, numbered, settle, sheltered, text_or_empty
 from ravelin.llm.native import let, matches
 
 #: Kinds in the order of equal starts.
@@ -111,6 +111,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     )
 
 
+@sheltered
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with each reported span of text_col replaced by mark; overlapping spans become one mark.
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import RID, arrow_rows, numbered, settle, texts_of
+from ravelin.llm.common import RID, arrow_rows, numbered, settle, sheltered, texts_of
 from ravelin.llm.components import components
 
 SEED = 42
@@ -242,6 +242,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "fp").select(RID, "doc_id", "fp", "component_id", "root")
 
 
+@sheltered
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group, that of the least id (of several rows with it, the first by row number)."""
     rows = numbered(docs)

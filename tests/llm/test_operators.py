@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -521,23 +522,92 @@ def brute_similarity(a, b):
     return sum((x & y).values()) / sum((x | y).values())
 
 
-def test_keys_of_near_passages():
-    """Whatever the place of the edits, two stretches that are similar enough have a key in common."""
+def near_pairs(tries, least=50, most=200, seed=3):
+    """(similarity, words, changed words): a passage and one with edits at random places, from 0.8 on."""
+    import random
+
+    rng = random.Random(seed)
+    for n in range(tries):
+        words = [f"n{n}.{k}" for k in range(rng.randint(least, most))]
+        changed = list(words)
+        for k in range(rng.randint(1, max(1, len(words) // 25))):
+            at, kind = rng.randrange(len(changed)), rng.randrange(3)
+            changed[at : at + (kind != 1)] = [] if kind == 0 else [f"new{n}.{k}"]
+        alike = brute_similarity(words, changed)
+        if alike >= 0.8 and len(changed) >= 50:
+            yield alike, words, changed
+
+
+def test_recall_of_signatures():
+    """Near passages inside longer texts have a signature in common, at the limit of similarity and of length too."""
+    shared = lambda a, b, n: bool(substring.anchors_of(" ".join([f"a{n}.{k}" for k in range(60)] + a)) & substring.anchors_of(" ".join(b + [f"b{n}.{k}" for k in range(60)])))
+    any_place = [shared(a, b, n) for n, (_, a, b) in enumerate(near_pairs(400))]
+    assert len(any_place) > 200 and np.mean(any_place) >= 0.99
     words = [f"k{n}" for n in range(51)]
+    limit = []
     for k in range(5, 46):
-        for new in ([], ["new"], ["new", "newer"]):
-            changed = [*words[:k], *new, *words[k + 1 :]]
-            assert brute_similarity(words, changed) < 0.8 or set(substring.anchors_of(" ".join(words))) & set(substring.anchors_of(" ".join(changed))), (k, new)
-    words = [f"m{n}" for n in range(110)]
-    for j in range(5, 100):
-        for k in range(j + 1, 105):
-            changed = [w if n not in (j, k) else "new" for n, w in enumerate(words)]
+        for new in ("new", "newer", "newest", "other", "another"):
+            changed = [*words[:k], new, *words[k + 1 :]]
             if brute_similarity(words, changed) >= 0.8:
-                assert set(substring.anchors_of(" ".join(words))) & set(substring.anchors_of(" ".join(changed))), (j, k)
+                limit.append(shared(words, changed, k))
+    assert len(limit) > 100 and np.mean(limit) >= 0.9
+    # exact stretches of 50 words always have all of them in common
+    for n in range(20):
+        exact = [f"e{n}.{k}" for k in range(50)]
+        assert shared(exact, exact, n)
+
+
+def test_signatures_are_joined_windows():
+    """A band's signatures are those of the stretches that a compact window of each of its functions holds."""
+    rng = np.random.default_rng(9)
+    hashes = rng.integers(0, 2**63, 300).astype(np.uint64)
+    for band in range(substring.BANDS):
+        want = [None] * (300 - substring.WINDOW + 1)
+        for k in range(substring.FUNCTIONS):
+            values = substring._mixed(hashes, 1000 + band * substring.FUNCTIONS + k)
+            for left, c, right in substring.compact_windows(values, substring.WINDOW):
+                for start in range(max(left, c - substring.WINDOW + 1), min(c, right - substring.WINDOW + 1) + 1):
+                    want[start] = (want[start] or ()) + (int(values[c]),)
+        got = substring.signatures(hashes, band).tolist()
+        assert all(len(w) == substring.FUNCTIONS for w in want)
+        assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
+def test_near_passages_behind_strangers(spark):
+    """Two later rows share a near passage; an earlier one has a part of it only. Nine pairs of ten and more are found."""
+    rows, number = [], 0
+    for n, (_, a, b) in enumerate(near_pairs(40, 60, 160, seed=8)):
+        at = len(a) // 3
+        pad = lambda p: " ".join(f"{p}{n}.{k}" for k in range(55))  # noqa: B023, E731
+        for text in (f"{pad('p')} {' '.join(a[at : at + 20])} {pad('q')}", f"{pad('r')} {' '.join(a)} {pad('s')}", f"{pad('t')} {' '.join(b)} {pad('u')}"):
+            rows.append((len(rows), text))
+        number += 1
+    found = {r.rid for r in substring.passages(numbered(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))).collect()}
+    assert number >= 20 and found <= set(range(2, 3 * number, 3)) and len(found) >= 0.9 * number
+
+
+def test_passage_twice_in_a_row(spark):
+    """Both copies in the later row are found and cut; the first row keeps its own."""
+    words = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
+    passage = words("shared", 60)
+    frame = spark.createDataFrame([(0, f"{words('a', 30)} {passage}"), (1, f"{passage} {words('b', 30)} {passage} {words('c', 10)}")], "doc_id long, text string").coalesce(1)
+    assert sorted((r.start_word, r.end_word) for r in check_passages(frame)) == [(0, 60), (90, 150)]
+    assert [r.text for r in substring.remove_repeats(frame).orderBy("doc_id").collect()] == [f"{words('a', 30)} {passage}", f" {words('b', 30)} {words('c', 10)}"]
+
+
+def test_clashing_names(odd_docs):
+    """Columns that bear internal names come back with their values."""
+    import corpus_pipeline
+
+    odd = odd_docs.selectExpr("*", "doc_id AS __spans", "doc_id AS __lang", "doc_id AS __score", "doc_id AS __ravelin_rid", "doc_id AS kept0")
+    for work in (substring.remove_repeats, secrets.redact, simhash.keep_one, lambda d: corpus_pipeline.language_id(None, d, "")):
+        out = work(odd)
+        assert out.columns == odd.columns
+        assert out.filter("not (__spans <=> doc_id and __lang <=> doc_id and __score <=> doc_id and __ravelin_rid <=> doc_id and kept0 <=> doc_id)").count() == 0
 
 
 def found_in(a, b):
-    return substring.verify(substring.word_hashes(" ".join(a)), substring.word_hashes(" ".join(b)))[0]
+    return substring.verify(substring.word_hashes(" ".join(a)), substring.word_hashes(" ".join(b)))
 
 
 def test_edits_and_moves():
