@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found in each text; a candidate's hash is then counted over the whole corpus by distinct repositories and
-owners. A value that several owners have is an example that was copied around; one that a single owner has and that
-looks random is taken for a live credential. Base spans (assignments, access keys, long hex runs) are always reported.
-Blobs of 20 and more letters and digits are reported only where ownership says that they are live.
+owners. A value that several owners have, or that one owner has in many repositories or very many times, is an example that
+was copied around; one that a single owner has in few repositories, a few times, and that looks random is taken for a live
+credential. Base spans (assignments, access keys, long hex runs) are always reported. Blobs of 20 and more letters and
+digits are reported only where ownership says that they are live. Redaction marks copied examples apart from secrets.
 
 Counting goes in three steps (hash, owner, repository), (hash, owner), (hash), each with partial sums before its
 exchange, so a value in a third of all rows is a few rows per task. Only candidates are exchanged, never texts.
@@ -26,8 +27,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 BLOB = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"
 ASSIGN_LEAST = 6
-#: From so many owners upwards a value counts as copied.
+#: From so many owners, or repositories, or places in a repository on average, upwards a value counts as copied.
 COPIED_OWNERS = 3
+COPIED_REPOS = 4
+COPIED_TIMES = 20
 #: A live value has so many different characters at least.
 LIVE_CHARACTERS = 8
 
@@ -76,20 +79,23 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repo: Column | None = None) -> DataFrame:
-    """(RID, doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live) for each row of docs.
+    """(RID, doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live, copied) for each row of docs.
 
     docs must have RID. The owner is the column source unless another is given; a repository is an owner's part, by
     default the pair of source and lang. Null owners and repositories count as empty ones; a null text counts as empty
-    and has no spans. Spans are kind:start:end in code points. `live` lists the spans of values that one owner alone has
-    and that look random; n_copied counts spans of values that COPIED_OWNERS owners or more have. Repeated rows stay.
+    and has no spans. Spans are kind:start:end in code points. `copied` lists the spans of copied examples: values that
+    COPIED_OWNERS owners, COPIED_REPOS repositories or more have, or that stand COPIED_TIMES times or more in each of their
+    repositories on average. `live` lists the spans of values that one owner alone has, that aren't copied and that look
+    random; n_live and n_copied count them. Repeated rows stay, and each counts.
     """
     owner = F.coalesce((F.col("source") if owner is None else owner).cast("string"), F.lit(""))
     repo = F.concat_ws("/", owner, F.coalesce(F.col("lang").cast("string"), F.lit(""))) if repo is None else F.coalesce(repo.cast("string"), F.lit(""))
     rows = settle(docs.select(RID, F.col(id_col).cast("long").alias("doc_id"), owner.alias("owner"), repo.alias("repo"), candidates(text_or_empty(text_col)).alias("found")))
     each = rows.filter(F.size("found") > 0).select(RID, "owner", "repo", F.explode("found").alias("x")).select(RID, "owner", "repo", "x.*")
     counts = ownership(each.select("hash", "owner", "repo"))
-    live = (F.col("owners") == 1) & F.col("random")
-    judged = each.join(counts, "hash").select(RID, F.struct("start", "kind", "end", live.alias("live"), (F.col("owners") >= COPIED_OWNERS).alias("copied")).alias("x"))
+    copied = (F.col("owners") >= COPIED_OWNERS) | (F.col("repos") >= COPIED_REPOS) | (F.col("times") >= COPIED_TIMES * F.col("repos"))
+    live = (F.col("owners") == 1) & ~copied & F.col("random")
+    judged = each.join(counts, "hash").select(RID, F.struct("start", "kind", "end", live.alias("live"), copied.alias("copied")).alias("x"))
     per_row = judged.groupBy(RID).agg(F.sort_array(F.collect_list("x")).alias("judged"))
     base = F.filter("found", lambda x: x["kind"] < 3)
     told = F.coalesce(F.filter("judged", lambda x: (x["kind"] < 3) | x["live"]), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,live:boolean,copied:boolean>>"))
@@ -107,35 +113,44 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
             F.size(F.filter("told", lambda x: x["live"])).cast("long").alias("n_live"),
             F.size(F.filter("told", lambda x: x["copied"])).cast("long").alias("n_copied"),
             _listed(F.filter("told", lambda x: x["live"])).alias("live"),
+            _listed(F.filter("told", lambda x: x["copied"])).alias("copied"),
         )
     )
 
 
 @sheltered
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each reported span of text_col replaced by mark; overlapping spans become one mark.
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", copied_mark: str = "[EXAMPLE]") -> DataFrame:
+    """docs with each reported span of text_col replaced: secrets by mark, copied examples by copied_mark. Overlapping spans become
+    one mark, that of secrets where one of them is no copied example.
 
     Rows without a span, null texts too, stay as they are. n_chars, where docs has it, follows the new text.
     """
     rows = numbered(docs)
-    found = scan(rows, id_col, text_col).filter("spans <> ''").select(RID, F.col("spans").alias("__spans"))
-    ends = F.transform(F.split("__spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.split(s, ":")[2].cast("int").alias("b")))
-    grown = F.aggregate(
-        F.sort_array(ends),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), F.col(text_col).alias("t")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["b"]).alias("at"),
-            F.when(x["a"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(F.substring(a["t"], a["at"] + 1, x["a"] - a["at"])))).alias("out"),
-            a["t"].alias("t"),
-        ),
-        lambda a: F.concat(F.array_join(a["out"], mark), F.when(F.size(a["out"]) > 0, F.lit(mark)).otherwise(""), F.substring(a["t"], a["at"] + 1, F.length(a["t"]))),
+    found = scan(rows, id_col, text_col).filter("spans <> ''").select(RID, F.split("spans", ",").alias("__spans"), F.split("copied", ",").alias("__copied"))
+    part = lambda s, k: F.split(s, ":")[k].cast("int")
+    ends = F.sort_array(F.transform("__spans", lambda s: F.struct(part(s, 1).alias("a"), part(s, 2).alias("b"), F.array_contains("__copied", s).alias("copied"))))
+    # stretches to replace: one for all spans that overlap
+    kind = "array<struct<a:int,b:int,copied:boolean>>"
+    merged = F.aggregate(
+        ends,
+        F.array().cast(kind),
+        lambda out, x: F.when(
+            (F.size(out) > 0) & (x["a"] < F.coalesce(F.try_element_at(out, F.lit(-1))["b"], F.lit(0))),
+            F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(out, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(out, F.lit(-1))["b"], x["b"]).alias("b"), (F.try_element_at(out, F.lit(-1))["copied"] & x["copied"]).alias("copied")))),
+        ).otherwise(F.concat(out, F.array(x))),
     )
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(grown)
-    out = rows.join(found, RID, "left").withColumn(text_col, text)
+    cut = found.select(RID, merged.alias("__cut"))
+    before = F.transform("__cut", lambda x, i: F.concat(_between(F.col(text_col), F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__cut"), i - 1)["b"]), x["a"]), F.when(x["copied"], copied_mark).otherwise(mark)))
+    new = F.concat(F.array_join(before, ""), _between(F.col(text_col), F.element_at("__cut", -1)["b"], F.length(text_col)))
+    out = rows.join(cut, RID, "left").withColumn(text_col, F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(new))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
+def _between(text: Column, a: Column, b: Column) -> Column:
+    return F.substring(text, a + 1, b - a)
+
+
 def secret_rows(docs: DataFrame) -> DataFrame:
     return scan(numbered(docs)).drop(RID)
