@@ -1,8 +1,10 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
 Each text is measured once. Rule failures are summed by host (partial sums first, so one host with a third of all rows
-is a few rows per task). Each rule's rates over hosts give a beta prior by their moments; a host's rate is shrunk towards
-it, and a host fails where a shrunk rate passes a limit. The hosts' verdicts are joined back to the documents.
+is a few rows per task). Each rule's rates over hosts give a beta prior by their moments: the mean is that of all documents,
+the variance what the hosts' rates, weighted by their documents, vary beyond chance. A host's rate is shrunk towards the
+prior, and a host fails where a shrunk rate lies in the prior's upper tail. The hosts' verdicts are joined back to the
+documents.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from ravelin.llm.native import let, words
 SYMBOLS = r"[#*$%&|<>]"
 #: Fewer words than this fail.
 LEAST_WORDS = 50
-#: A host fails where a rule's shrunk failure rate is above this.
-HOST_LIMIT = 0.8
-#: Weight of the prior, in documents, where the hosts' rates don't vary.
-PRIOR_WEIGHT = 10.0
+#: A host fails where a rule's shrunk failure rate is so many of the prior's standard deviations above its mean, but never
+#: below the first of HOST_LIMITS and always above the second.
+HOST_TAIL = 3.0
+HOST_LIMITS = (0.25, 0.8)
+#: The prior's weight in documents lies between these; it is the second where hosts vary by chance alone.
+PRIOR_WEIGHTS = (2.0, 1000.0)
 #: Up to so many hosts their verdicts are broadcast: some 64 bytes each.
 BROADCAST_HOSTS = 50_000
 
@@ -85,20 +89,28 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     failures = {k: F.sum(F.expr(rule).cast("int")).alias(k) for k, rule in RULES.items()}
     hosts = settle(rows.groupBy("host").agg(F.count("*").alias("host_docs"), *failures.values()))
     moments = hosts.agg(
+        F.count("*").alias("hosts"),
         F.sum("host_docs").alias("docs"),
         *(F.sum(k).alias(f"{k}_sum") for k in RULES),
-        *(F.avg(F.col(k) / F.col("host_docs")).alias(f"{k}_mean") for k in RULES),
-        *(F.var_pop(F.col(k) / F.col("host_docs")).alias(f"{k}_var") for k in RULES),
+        *(F.sum(F.col(k) * F.col(k) / F.col("host_docs")).alias(f"{k}_square") for k in RULES),
     ).first()
-    rates = []
+    rates, failed = [], F.lit(False)
     for k in RULES:
-        mean, var = moments[f"{k}_mean"] or 0.0, moments[f"{k}_var"] or 0.0
-        weight = PRIOR_WEIGHT
-        if var > 0 and mean * (1 - mean) > var:
-            weight = mean * (1 - mean) / var - 1
+        mean, weight, limit = prior(moments["hosts"], moments["docs"] or 0, moments[f"{k}_sum"] or 0, moments[f"{k}_square"] or 0.0)
         rates.append((F.col(k) + F.lit(mean * weight)) / (F.col("host_docs") + F.lit(weight)))
-    rate = F.greatest(*rates)
-    return hosts.select("host", "host_docs", rate.alias("host_rate"), (rate > HOST_LIMIT).alias("host_failed"))
+        failed = failed | (rates[-1] > limit)
+    return hosts.select("host", "host_docs", F.greatest(*rates).alias("host_rate"), failed.alias("host_failed"))
+
+
+def prior(hosts: int, docs: int, failures: int, squares: float) -> tuple[float, float, float]:
+    """(mean, weight, limit) of a rule's beta prior; squares is the sum of failures**2 / documents over hosts."""
+    if not docs:
+        return 0.0, PRIOR_WEIGHTS[1], HOST_LIMITS[1]
+    mean = failures / docs
+    chance = mean * (1 - mean)
+    between = (squares - docs * mean * mean - (hosts - 1) * chance) / docs
+    weight = min(max(chance / between - 1, PRIOR_WEIGHTS[0]), PRIOR_WEIGHTS[1]) if between > 0 else PRIOR_WEIGHTS[1]
+    return mean, weight, min(max(mean + HOST_TAIL * (chance / (weight + 1)) ** 0.5, HOST_LIMITS[0]), HOST_LIMITS[1])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

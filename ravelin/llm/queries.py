@@ -73,11 +73,13 @@ m AS (SELECT w.rid, doc_id, host, len(ws) AS n_words, length(array_to_string(ws,
   len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN r ON w.rid = r.rid),
 f AS (SELECT host, {', '.join(f"CAST({rule} AS INT) AS {name}" for name, rule in quality.RULES.items())} FROM m),
 h AS (SELECT host, count(*) AS n, {', '.join(f"sum({k}) AS {k}" for k in quality.RULES)} FROM f GROUP BY host),
-p AS (SELECT {', '.join(f"avg({k} / CAST(n AS DOUBLE)) AS {k}_m, var_pop({k} / CAST(n AS DOUBLE)) AS {k}_v" for k in quality.RULES)} FROM h),
-q AS (SELECT *, {', '.join(f"CASE WHEN {k}_v > 0 AND {k}_m * (1 - {k}_m) > {k}_v THEN {k}_m * (1 - {k}_m) / {k}_v - 1 ELSE {quality.PRIOR_WEIGHT} END AS {k}_w" for k in quality.RULES)} FROM p),
-v AS (SELECT host, greatest({', '.join(f"({k} + {k}_m * {k}_w) / (n + {k}_w)" for k in quality.RULES)}) AS host_rate FROM h, q)
+p AS (SELECT count(*) AS hosts, CAST(sum(n) AS DOUBLE) AS docs, {', '.join(f"sum({k}) / CAST(sum(n) AS DOUBLE) AS {k}_m, sum({k} * {k} / CAST(n AS DOUBLE)) AS {k}_s" for k in quality.RULES)} FROM h),
+b AS (SELECT *, {', '.join(f"({k}_s - docs * {k}_m * {k}_m - (hosts - 1) * {k}_m * (1 - {k}_m)) / docs AS {k}_v" for k in quality.RULES)} FROM p),
+q AS (SELECT *, {', '.join(f"CASE WHEN {k}_v > 0 THEN least(greatest({k}_m * (1 - {k}_m) / {k}_v - 1, {quality.PRIOR_WEIGHTS[0]}), {quality.PRIOR_WEIGHTS[1]}) ELSE {quality.PRIOR_WEIGHTS[1]} END AS {k}_w" for k in quality.RULES)} FROM b),
+z AS (SELECT *, {', '.join(f"least(greatest({k}_m + {quality.HOST_TAIL} * sqrt({k}_m * (1 - {k}_m) / ({k}_w + 1)), {quality.HOST_LIMITS[0]}), {quality.HOST_LIMITS[1]}) AS {k}_l" for k in quality.RULES)} FROM q),
+v AS (SELECT host, greatest({', '.join(f"({k} + {k}_m * {k}_w) / (n + {k}_w)" for k in quality.RULES)}) AS host_rate, {' OR '.join(f"({k} + {k}_m * {k}_w) / (n + {k}_w) > {k}_l" for k in quality.RULES)} AS host_failed FROM h, z)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT host_rate > {quality.HOST_LIMIT} AS kept, m.host, round(host_rate, 6) AS host_rate, host_rate > {quality.HOST_LIMIT} AS host_failed
+  NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT host_failed AS kept, m.host, round(host_rate, 6) AS host_rate, host_failed
 FROM m JOIN v ON m.host = v.host
 """
 
