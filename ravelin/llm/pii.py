@@ -6,9 +6,9 @@ spelled-out mail addresses). Boosted
 trees judge each candidate by features of its format and of its context. They are trained on candidates of a bounded
 sample of texts. A candidate counts as true where a base pattern confirms it or where it has a known format that no base
 pattern has (spelled-out mail addresses, national phone numbers, account numbers with right check digits); as false where
-neither its format nor the words before it speak for it; the others are unlabelled and left out. The threshold is calibrated
-on looser candidates that training hasn't seen and that touch no base span, so that the share of true ones above it reaches
-PRECISION. Base spans are always reported; other candidates are reported where they pass the threshold and touch no base
+neither its format nor the words before it speak for it; the others are unlabelled and left out. Thresholds, one for each kind, are
+calibrated on looser candidates that training hasn't seen and that touch no base span, so that the share of true ones above
+reaches PRECISION. Base spans are always reported; other candidates are reported where they pass the threshold and touch no base
 span.
 
 All patterns run in time linear in the text: each has one anchor (an at sign, a plus, the first digit of a run) and no
@@ -36,6 +36,8 @@ MORE = ("number", "contact", "identifier")
 SAMPLE_TEXTS = 20_000
 SAMPLE_CANDIDATES = 30_000
 PRECISION = 0.95
+#: A kind has a threshold of its own from so many calibration rows on.
+CALIBRATION_ROWS = 30
 TREES = 40
 DEPTH = 3
 BINS = 32
@@ -168,7 +170,12 @@ class Booster:
     """Gradient-boosted trees of fixed depth on binned features, with logistic loss."""
 
     def __init__(self, edges: list[np.ndarray], trees: list[tuple], start: float, scale: tuple[float, float], threshold: float) -> None:
+        """threshold is that of kinds without one of their own in thresholds; above 1 none passes."""
         self.edges, self.trees, self.start, self.scale, self.threshold = edges, trees, start, scale, threshold
+        self.thresholds: dict[int, float] = {}
+
+    def passes(self, kind: int, p: float) -> bool:
+        return p >= self.thresholds.get(kind, self.threshold)
 
     def _bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(self.edges)], axis=1)
@@ -195,9 +202,9 @@ class Booster:
         return 1 / (1 + np.exp(-np.clip(a * self.margin(x) + b, -30, 30)))
 
     @classmethod
-    def train(cls, x: np.ndarray, y: np.ndarray, seed: int = 11, loose: np.ndarray | None = None) -> Booster | None:
+    def train(cls, x: np.ndarray, y: np.ndarray, seed: int = 11, loose: np.ndarray | None = None, kinds: np.ndarray | None = None) -> Booster | None:
         """None where the rows hold only one class. Each third row is kept for calibration, of which only those that are
-        `loose` set the threshold."""
+        `loose` set the thresholds: one for each of `kinds` with CALIBRATION_ROWS of them, and one for all others."""
         if len(y) < 30 or y.min() == y.max():
             return None
         order = np.random.default_rng(seed).permutation(len(y))
@@ -214,7 +221,7 @@ class Booster:
             tree = cls._tree(bins, y[used] - p, p * (1 - p) + 1e-9)
             self.trees.append(tree)
             total += RATE * tree[2][cls._leaf(tree, bins)]
-        self._calibrate(x[held], y[held], np.ones(len(held), bool) if loose is None else loose[held])
+        self._calibrate(x[held], y[held], np.ones(len(held), bool) if loose is None else loose[held], None if kinds is None else kinds[held])
         return self
 
     @staticmethod
@@ -238,7 +245,7 @@ class Booster:
         g, h = np.bincount(leaf, gradient, leaves), np.bincount(leaf, weight, leaves)
         return split, at, np.clip(g / (h + 1), -4, 4)
 
-    def _calibrate(self, x: np.ndarray, y: np.ndarray, loose: np.ndarray) -> None:
+    def _calibrate(self, x: np.ndarray, y: np.ndarray, loose: np.ndarray, kinds: np.ndarray | None) -> None:
         m = self.margin(x)
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton steps with a weak pull towards (1, 0)
@@ -252,10 +259,18 @@ class Booster:
                 break
         self.scale = (float(a), float(b))
         p, y = self.probability(x)[loose], y[loose]
+        self.threshold = self._threshold(p, y)
+        if kinds is not None:
+            of = kinds[loose]
+            self.thresholds = {int(k): self._threshold(p[of == k], y[of == k]) for k in np.unique(of) if (of == k).sum() >= CALIBRATION_ROWS}
+
+    @staticmethod
+    def _threshold(p: np.ndarray, y: np.ndarray) -> float:
+        """The lowest from which the share of true ones reaches PRECISION."""
         order = np.argsort(-p, kind="stable")
         share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
         good = np.flatnonzero(share >= PRECISION)
-        self.threshold = max(0.5, float(p[order[good[-1]]])) if len(good) else 2.0
+        return max(0.5, float(p[order[good[-1]]])) if len(good) else 2.0
 
 
 def evidence(text: str, kind: int, start: int, end: int) -> int | None:
@@ -275,9 +290,10 @@ def evidence(text: str, kind: int, start: int, end: int) -> int | None:
     return None if any(cues) else 0
 
 
-def training_rows(texts: list[str]) -> tuple[list[list[float]], list[int]]:
-    """Features of all labelled candidates, and 0 (not personal), 1 (personal, by a known format) or 2 (touches a base span)."""
-    x, y = [], []
+def training_rows(texts: list[str]) -> tuple[list[list[float]], list[int], list[int]]:
+    """Features of all labelled candidates, 0 (not personal), 1 (personal, by a known format) or 2 (touches a base span), and
+    their kinds."""
+    x, y, kinds = [], [], []
     for text in texts:
         base = base_spans(text)
         spans = base + loose_spans(text)
@@ -288,7 +304,8 @@ def training_rows(texts: list[str]) -> tuple[list[list[float]], list[int]]:
             if label is not None and (label or not overlaps((kind, start, end), real)):
                 x.append(features(text, start, end))
                 y.append(label)
-    return x, y
+                kinds.append(kind)
+    return x, y, kinds
 
 
 def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Booster | None:
@@ -299,24 +316,24 @@ def learn(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Bo
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x, y = training_rows(texts_of(batch))
+            x, y, kinds = training_rows(texts_of(batch))
             key = [int.from_bytes(hashlib.blake2b(repr(r).encode() + bytes([k % 251]), digest_size=7).digest(), "big") for k, r in enumerate(x)]
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["key", "x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(kinds, pa.int32())], names=["key", "x", "y", "kind"])
 
         return work
 
-    got = arrow_rows(rows.select("text"), make, "key long, x array<double>, y int").orderBy("key", "y").limit(SAMPLE_CANDIDATES).collect()
+    got = arrow_rows(rows.select("text"), make, "key long, x array<double>, y int, kind int").orderBy("key", "y", "kind").limit(SAMPLE_CANDIDATES).collect()
     if not got:
         return None
     y = np.array([r.y for r in got])
-    return Booster.train(np.array([r.x for r in got]), (y > 0).astype(np.float64), loose=y < 2)
+    return Booster.train(np.array([r.x for r in got]), (y > 0).astype(np.float64), loose=y < 2, kinds=np.array([r.kind for r in got]))
 
 
 def find(text: str | None, booster: Booster | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, added spans) of one text."""
     text = text or ""
     base = base_spans(text)
-    if booster is None or booster.threshold > 1:
+    if booster is None or min([booster.threshold, *booster.thresholds.values()]) > 1:
         return base, []
     loose = [s for s in loose_spans(text) if not overlaps(s, base)]
     if not loose:
@@ -324,7 +341,7 @@ def find(text: str | None, booster: Booster | None) -> tuple[list[tuple[int, int
     p = booster.probability(np.array([features(text, s[1], s[2]) for s in loose]))
     added: list[tuple[int, int, int]] = []
     for k in np.argsort(-p, kind="stable"):  # of overlapping ones the likeliest stays
-        if p[k] >= booster.threshold and not overlaps(loose[k], added):
+        if booster.passes(loose[k][0], p[k]) and not overlaps(loose[k], added):
             added.append(loose[k])
     return base, sorted(added)
 
