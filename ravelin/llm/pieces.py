@@ -7,11 +7,14 @@ text.
 
 Where two neighbouring characters stand together in no piece, all paths converge between them at once. Where no piece of
 a vocabulary has its space mark after another character, that holds before each word, so a word's ids depend on the word
-alone, and ids of words (and of their parts between such points) seen before are taken from a bounded table.
+alone. Ids of words (and of their parts between such points) that the search has finished before are taken from a bounded
+table; all others come from the search itself, whatever their length.
 
 Spaces become the mark U+2581 and one mark is put before a text; a mark in a text reads as a space. A path's worth is the
-sum of its pieces' stored scores; among equal ones that with the longer last piece wins at each position. A character
-without a piece of its own may be spelled in its bytes, ten below the lowest score.
+sum of its pieces' scores; among equal ones that with the longer last piece wins at each position. A character without a
+piece of its own may be spelled in its bytes, ten below the lowest score. A file of merges has whole numbers, the order of
+the merges, in place of probabilities. Sums of these would favour many early pieces, so there a piece costs PIECE and its
+rank: the fewest pieces win, and among as many those that merge first.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from ravelin.llm.common import arrow_columns
 MARK = "▁"
 #: Words whose ids a worker keeps; it forgets all at once when it is full.
 KEPT_WORDS = 400_000
+#: What a piece costs besides its rank, where scores are ranks of merges.
+PIECE = 1e6
 
 
 class Pieces:
@@ -72,9 +77,15 @@ class Pieces:
     def setup(self, unknown: int) -> None:
         self.unknown = unknown
         self.longest = max(map(len, self.pieces), default=1)
-        self.missing = min((s for _, s in self.pieces.values()), default=0.0) - 10
+        scores = sorted({s for _, s in self.pieces.values()}, reverse=True)
+        ranks = len(scores) > 1 and all(s == int(s) for s in scores)
+        #: What each score is worth.
+        self.worth = {s: -PIECE - k for k, s in enumerate(scores)} if ranks else {s: s for s in scores}
+        self.missing = min(self.worth.values(), default=0.0) - 10
+        self.most_open = 0
         self.tree: dict = {}
-        for piece, found in self.pieces.items():
+        for piece, (i, score) in self.pieces.items():
+            found = (i, self.worth[score])
             node = self.tree
             for character in piece:
                 node = node.setdefault(character, {})
@@ -88,71 +99,41 @@ class Pieces:
         return ids if min(ids) >= 0 else (self.unknown,)
 
     def _stream(self, text: str) -> Iterator[list[int]]:
-        """Lists of final ids, in order."""
-        tree, longest = self.tree, self.longest
-        best: dict[int, float] = {0: 0.0}
-        back: dict[int, tuple[int, tuple[int, ...]]] = {}
-        final, n = 0, len(text)
-        for at in range(n):
-            score = best.pop(at)
-            alone = False
-            node, end = tree, at
-            for character in text[at : at + longest]:
-                node = node.get(character)
-                if node is None:
-                    break
-                end += 1
-                found = node.get(0)
-                if found is not None:
-                    alone = alone or end == at + 1
-                    total = score + found[1]
-                    if end not in best or total > best[end]:
-                        best[end], back[end] = total, (at, (found[0],))
-            if not alone and (at + 1 not in best or score + self.missing > best[at + 1]):
-                best[at + 1], back[at + 1] = score + self.missing, (at, self.spelled(text[at]))
-            if at + 1 - final >= 4 * longest or at + 1 == n:
-                # open paths end at the positions that a piece has reached; those before at + 1 are done with
-                boundary = self._meeting(back, list(best), final)
-                if boundary > final:
-                    yield self._path(back, boundary, final)
-                    for gone in range(final + 1, boundary + 1):
-                        back.pop(gone, None)
-                    final = boundary
-
-    def _part(self, text: str) -> tuple[int, ...]:
-        """_stream for a text that its window holds whole."""
-        pieces, n = self.pieces, len(text)
-        if n == 1:
-            found = pieces.get(text)
-            return (found[0],) if found else self.spelled(text)
-        worth = [_NEVER] * (n + 1)
-        back: list = [None] * (n + 1)
-        worth[0] = 0.0
-        tree = self.tree
-        for at in range(n):
-            score = worth[at]
-            if score == _NEVER:
-                continue
-            node, end = tree, at
-            for character in text[at:]:
-                node = node.get(character)
-                if node is None:
-                    break
-                end += 1
-                found = node.get(0)
-                if found is not None:
-                    total = score + found[1]
-                    if total > worth[end]:
-                        worth[end], back[end] = total, (at, found[0])
-            if text[at] not in pieces and score + self.missing > worth[at + 1]:
-                worth[at + 1], back[at + 1] = score + self.missing, (at, None)
-        out: list[int] = []
-        while n:
-            at, found = back[n]
-            out.extend(reversed(self.spelled(text[at:n])) if found is None else (found,))
-            n = at
-        out.reverse()
-        return tuple(out)
+        """Lists of final ids, in order. Positions count from the last final boundary."""
+        tree, pieces, longest, n = self.tree, self.pieces, self.longest, len(text)
+        worth, back = [0.0] + [_NEVER] * longest, [None] * (longest + 1)
+        final, at, check = 0, 0, min(n, longest)
+        while at < n:
+            here = at - final
+            score = worth[here]
+            if score != _NEVER:
+                node, end = tree, here
+                for character in text[at : at + longest]:
+                    node = node.get(character)
+                    if node is None:
+                        break
+                    end += 1
+                    found = node.get(0)
+                    if found is not None:
+                        total = score + found[1]
+                        if total > worth[end]:
+                            worth[end], back[end] = total, (here, found[0])
+                if text[at] not in pieces and score + self.missing > worth[here + 1]:
+                    worth[here + 1], back[here + 1] = score + self.missing, (here, None)
+            at += 1
+            worth.append(_NEVER)
+            back.append(None)
+            if at == check:
+                check = min(n, at + longest)
+                here = at - final
+                # open paths end at the positions that a piece has reached; those before `at` are done with
+                boundary = self._meeting(back, [k for k in range(here, len(worth)) if worth[k] != _NEVER])
+                self.most_open = max(self.most_open, here - boundary)
+                if boundary:
+                    yield self._path(back, boundary, text[final : final + boundary])
+                    final += boundary
+                    worth = worth[boundary:]
+                    back = [b and (b[0] - boundary, b[1]) for b in back[boundary:]]
 
     def _word(self, word: str) -> tuple[int, ...]:
         """A word's ids by its parts between neighbours that stand together in no piece."""
@@ -164,31 +145,31 @@ class Pieces:
                 part = word[start:at]
                 ids = known.get(part)
                 if ids is None:
-                    if at - start > 4 * self.longest:
-                        ids = tuple(i for some in self._stream(part) for i in some)
-                    else:
-                        ids = known[part] = self._part(part)
+                    ids = tuple(i for some in self._stream(part) for i in some)
+                    if at - start <= 4 * self.longest:
+                        known[part] = ids
                 out.extend(ids)
                 start = at
         return tuple(out)
 
     @staticmethod
-    def _meeting(back: dict, ends: list[int], final: int) -> int:
+    def _meeting(back: list, ends: list[int]) -> int:
         """The last boundary through which the paths of all ends run. Each step moves the hindmost path back."""
         open_ends = set(ends)
         while len(open_ends) > 1:
             last = max(open_ends)
             open_ends.discard(last)
-            open_ends.add(back[last][0] if last > final else final)
+            open_ends.add(back[last][0])
         return open_ends.pop()
 
-    @staticmethod
-    def _path(back: dict, boundary: int, final: int) -> list[int]:
-        steps = []
-        while boundary > final:
-            boundary, ids = back[boundary]
-            steps.append(ids)
-        return [i for ids in reversed(steps) for i in ids]
+    def _path(self, back: list, boundary: int, text: str) -> list[int]:
+        out: list[int] = []
+        while boundary:
+            before, found = back[boundary]
+            out.extend(reversed(self.spelled(text[before:boundary])) if found is None else (found,))
+            boundary = before
+        out.reverse()
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text; none for an empty one."""

@@ -204,6 +204,21 @@ def test_secret_owners(spark):
     assert got[9].n_live == 2 and got[9].spans.endswith("blob:23:44") and got[9].n_copied == 0
 
 
+def test_secret_repositories(spark):
+    """One owner's value counts as copied in many repositories, or very often in one; owners alone don't decide."""
+    value = lambda n: f"Kq7Zm{n}Xw2Rt9LpVb4Yc8Nd"
+    rows = [(k, f"x {value(1)} y", f"repo{k}", "one") for k in range(secrets.COPIED_REPOS)]  # many repositories
+    rows += [(100 + k, f"x {value(2)} y", "repo0", "one") for k in range(500)]  # many times
+    rows += [(700 + k, f"x {value(3)} y", f"repo{k}", "one") for k in range(secrets.COPIED_REPOS - 1)]  # a few of either
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in secrets.scan(numbered(frame)).collect()}
+    assert all((got[k].n_live, got[k].spans) == ((0, "") if k < 700 else (1, "blob:2:24")) for k, *_ in rows)
+    texts = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    assert texts[0] == rows[0][1] and texts[700] == "x [SECRET] y"
+    marked = spark.createDataFrame([(k, "token=abcdefg1 secret=OnlyHere9", "en", f"src{k}") for k in range(3)] + [(3, "token=abcdefg1 secret=OnlyHere7", "en", "src3")], "doc_id long, text string, lang string, source string")
+    assert [r.text for r in secrets.redact(marked).orderBy("doc_id").collect()] == ["[EXAMPLE] [EXAMPLE]"] * 3 + ["[EXAMPLE] [SECRET]"]
+
+
 def test_redaction(odd_docs):
     got = {r.doc_id: r.text for r in secrets.redact(odd_docs).select("doc_id", "text").collect()}
     assert got[8] == "[SECRET]\" and token: abc and [SECRET] [SECRET]"
@@ -416,6 +431,16 @@ def test_bad_hosts(spark):
     assert got[200].kept and not got[500].kept and not got[500].host_failed
 
 
+def test_host_limit_follows_the_corpus(spark):
+    """A host with half of its documents short fails where hosts are good, and doesn't where all are like that."""
+    good = " ".join(f"w{k}" for k in range(80))
+    text = lambda h, k, all_bad: "short" if (all_bad or h == 0) and k % 2 else good
+    for all_bad in (False, True):
+        rows = [(h * 20 + k, text(h, k, all_bad), f"host{h}") for h in range(40) for k in range(20)]
+        got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert {r.host for r in got if r.host_failed} == (set() if all_bad else {"host0"})
+
+
 # op8 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -691,7 +716,7 @@ def brute_viterbi(model, text):
         for start in range(max(0, end - model.longest), end):
             piece = text[start:end]
             if piece in model.pieces:
-                found, ids = model.pieces[piece][1], (model.pieces[piece][0],)
+                found, ids = model.worth[model.pieces[piece][1]], (model.pieces[piece][0],)
             elif end - start == 1:
                 found, ids = model.missing, model.spelled(piece)
             else:
@@ -716,6 +741,37 @@ def test_pieces(table):
     assert bag(got, lambda r: (r.doc_id, r.n_chars)) == bag(rows_of(table), lambda r: (r[0], len(r[1] or "")))
 
 
+def test_search_streams(docs, monkeypatch):
+    """All ids that are in no table come from the streaming search, with a window that is bounded."""
+    model = pieces.Pieces(SP)
+    seen = []
+    real = pieces.Pieces._stream
+    monkeypatch.setattr(pieces.Pieces, "_stream", lambda self, part: seen.append(part) or real(self, part))
+    texts = [r.text or "" for r in docs.select("text").limit(60).collect()]
+    first = [model.encode(t) for t in texts]
+    parts = len(seen)
+    assert parts > 1000 and max(map(len, seen)) <= max(map(len, " ".join(texts).split())) + 1
+    assert [model.encode(t) for t in texts] == first and all(len(p) > 4 * model.longest for p in seen[parts:])
+    long = "abcdefghij" * 3000
+    model.most_open = 0
+    assert model.encode(long) == brute_viterbi(model, long) and model.most_open <= 8 * model.longest
+
+
+def test_agreement_with_the_library(docs):
+    """Fewest pieces, then ranks, against merging in rank order: most words have the same ids, and lists are no longer."""
+    from sentencepiece import SentencePieceProcessor
+
+    library, model = SentencePieceProcessor(model_file=SP), pieces.model_at(SP)
+    words = sorted({w for r in docs.select("text").collect() for w in (r.text or "").split()})[:20_000]
+    theirs = library.encode(words)
+    ours = [model.encode(w) for w in words]
+    same = np.mean([a == b for a, b in zip(ours, theirs, strict=True)])
+    print("same ids for", same, "of", len(words), "words; pieces", sum(map(len, ours)), sum(map(len, theirs)))
+    assert same >= 0.6 and sum(map(len, ours)) <= sum(map(len, theirs))
+    for text in ("hello world", "data", "The quick brown fox"):
+        assert model.encode(text) == library.encode(text)
+
+
 def test_streaming_is_whole_viterbi():
     """A vocabulary whose pieces cross spaces and whose paths meet late."""
     import random
