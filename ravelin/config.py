@@ -23,7 +23,6 @@ class Retrieval:
     top_k: int = 100
     df_cap: int = 2000
     query_tokens: int = 12
-    fallback_tokens: int = 3
     boosters: int = 10
     score_weight: float = 0.7
     name_weight: float = 0.3

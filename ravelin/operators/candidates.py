@@ -84,11 +84,10 @@ def prune(pairs: DataFrame, k: int, score: str = "cheap") -> DataFrame:
 
 
 def adaptive_prune(pairs: DataFrame, settings: Lists = Lists(), score: str = "cheap") -> DataFrame:
-    """Two levels: `inner` pairs by score, of them `final`, with strong evidence first."""
+    """Two levels: `inner` pairs as prune keeps them, of them `final`, with strong evidence first."""
     strong = ((F.col("exact_name") == 1) | (F.col("exact_address") == 1) | (F.col("n") >= 2) | (F.col("e5") >= 0.5)).cast("int")
-    by_s1 = Window.partitionBy("s1_id")
-    inner = pairs.withColumn("strong", strong).withColumn("p1", F.row_number().over(by_s1.orderBy(F.desc(score), "target_id"))).filter(F.col("p1") <= settings.inner)
-    return inner.withColumn("p2", F.row_number().over(by_s1.orderBy(F.desc("strong"), "p1"))).filter(F.col("p2") <= settings.final)
+    place = F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc("strong"), F.desc(score), "target_id"))
+    return prune(pairs, settings.inner, score).withColumn("strong", strong).withColumn("place", place).filter(F.col("place") <= settings.final)
 
 
 def as_lists(candidates: DataFrame, order: str, name: str = "candidates") -> DataFrame:

@@ -117,7 +117,7 @@ def tune(scored: DataFrame, truth: DataFrame, grid: tuple[float, ...], steps: tu
         got = best(sweep(scored, truth, [(near,)], ("threshold",), single))
         if got[1] > value:
             threshold, value = got
-    pairs = [(round(threshold + a, 4), round(threshold + b, 4)) for a in (0.0, -0.05, 0.05) for b in (0.0, -0.05, 0.05)]
+    pairs = [(round(threshold + a, 4), round(threshold + b, 4)) for a in (-0.05, 0.0, 0.05) for b in (-0.05, 0.0, 0.05)]
     by_source = lambda s: F.col("p") >= F.when(F.col("target_id").startswith("S2-"), s[0]).otherwise(s[1])
     return best(sweep(scored, truth, pairs, ("t2", "t3"), by_source))
 

@@ -71,9 +71,16 @@ def multi_pass(queries: DataFrame, targets: DataFrame, settings: Retrieval = Ret
     return top(named.select("s1_id", "target_id", F.round(mixed, 9).alias("score")), k)
 
 
+def _first(keys: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` records of each key by id, so that a key of very many records multiplies a query by no more."""
+    place = F.row_number().over(Window.partitionBy("country", "kind", "key").orderBy("id"))
+    return keys.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+
+
 def boosters(queries: DataFrame, targets: DataFrame, found: DataFrame, settings: Retrieval = Retrieval()) -> DataFrame:
     """(s1_id, target_id, kind): up to `boosters` targets beyond `found` with the same name, core name or 5/6-digit number
-    in the same country, in that order of preference."""
+    in the same country, in that order of preference, then by id. found has at most top_k targets of a query, so the first
+    boosters + top_k of a key hold all that can be chosen."""
 
     def keys(rows: DataFrame) -> DataFrame:
         c = F.col
@@ -83,7 +90,8 @@ def boosters(queries: DataFrame, targets: DataFrame, found: DataFrame, settings:
         )
         return rows.select(c("entity_id").alias("id"), c("country_norm").alias("country"), F.explode(kinds).alias("k")).select("id", "country", "k.kind", "k.key").filter("key <> ''")
 
-    hits = keys(queries).withColumnRenamed("id", "s1_id").join(keys(targets).withColumnRenamed("id", "target_id"), ["country", "kind", "key"])
+    held = _first(keys(targets), settings.boosters + settings.top_k)
+    hits = spread(keys(queries).withColumnRenamed("id", "s1_id"), "s1_id").join(held.withColumnRenamed("id", "target_id"), ["country", "kind", "key"])
     new = hits.groupBy("s1_id", "target_id").agg(F.min("kind").alias("kind")).join(found.select("s1_id", "target_id"), ["s1_id", "target_id"], "left_anti")
     place = F.row_number().over(Window.partitionBy("s1_id").orderBy("kind", "target_id"))
     return new.withColumn("place", place).filter(F.col("place") <= settings.boosters).drop("place")
@@ -91,7 +99,7 @@ def boosters(queries: DataFrame, targets: DataFrame, found: DataFrame, settings:
 
 def exact_lists(queries: DataFrame, targets: DataFrame, settings: Lists = Lists()) -> DataFrame:
     """(s1_id, target_id, place, exact_name, exact_address): same name and address, then same name, then same address,
-    up to exact_limit. The flags are the pair's own."""
+    up to exact_limit, by id. The flags are the pair's own. A key's first exact_limit targets hold all that can be chosen."""
 
     def keys(rows: DataFrame) -> DataFrame:
         c = F.col
@@ -99,8 +107,9 @@ def exact_lists(queries: DataFrame, targets: DataFrame, settings: Lists = Lists(
         kinds = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in enumerate((both, c("name_norm"), c("address_norm")))))
         return rows.select(c("entity_id").alias("id"), c("country_norm").alias("country"), F.explode(kinds).alias("k")).select("id", "country", "k.kind", "k.key").filter("key <> ''")
 
-    hits = keys(queries).withColumnRenamed("id", "s1_id").join(keys(targets).withColumnRenamed("id", "target_id"), ["country", "kind", "key"])
-    pairs = hits.groupBy("s1_id", "target_id").agg(F.min("kind").alias("kind"), F.max((F.col("kind") == 1).cast("int")).alias("exact_name"), F.max((F.col("kind") == 2).cast("int")).alias("exact_address"))
+    held = _first(keys(targets), settings.exact_limit)
+    hits = spread(keys(queries).withColumnRenamed("id", "s1_id"), "s1_id").join(held.withColumnRenamed("id", "target_id"), ["country", "kind", "key"])
+    pairs = hits.groupBy("s1_id", "target_id").agg(F.min("kind").alias("kind")).withColumns({"exact_name": (F.col("kind") < 2).cast("int"), "exact_address": (F.col("kind") != 1).cast("int")})
     place = F.row_number().over(Window.partitionBy("s1_id").orderBy("kind", "target_id"))
     return pairs.withColumn("place", place).filter(F.col("place") <= settings.exact_limit).drop("kind")
 

@@ -44,7 +44,8 @@ def split(s1: DataFrame, n_train: int, n_validation: int, by_bucket: bool = True
 
 
 def hard_negatives(pairs: DataFrame, settings: Sampling = Sampling()) -> DataFrame:
-    """All positives, and of each s1_id the negatives that look most like a match: max(3 * positives, 2) of them.
+    """All positives, and of each s1_id the negatives that look most like a match: max(3 * positives, 2) of them, where
+    an entity without positives counts as one with one.
 
     Points: 5 for equal names, 4 core names, 3 house numbers, 2 postal numbers. Equal names and core names count even
     where both are empty, numbers only where they are given.
@@ -54,24 +55,22 @@ def hard_negatives(pairs: DataFrame, settings: Sampling = Sampling()) -> DataFra
     positives = F.sum("label").over(Window.partitionBy("s1_id"))
     rows = pairs.withColumns({"hard": points, "positives": positives})
     place = F.row_number().over(Window.partitionBy("s1_id", "label").orderBy(F.desc("hard"), "target_id"))
-    want = F.greatest(settings.negatives_per_positive * F.col("positives"), F.lit(settings.least_negatives))
+    want = F.greatest(settings.negatives_per_positive * F.greatest(F.col("positives"), F.lit(1)), F.lit(settings.least_negatives))
     return rows.withColumn("place", place).filter((F.col("label") == 1) | (F.col("place") <= want)).drop("place", "positives")
 
 
 def banded_negatives(pairs: DataFrame, score: str = "best_score", settings: Sampling = Sampling()) -> DataFrame:
-    """Positives and up to banded_negatives negatives of each s1_id with a positive: half from the top of the score
-    order, three tenths from its middle third, the rest by hash from what is left. Others give nothing."""
-    n = settings.banded_negatives
-    top_n, mid_n = int(n * settings.top_share), int(n * settings.middle_share)
+    """Positives and up to banded_negatives negatives of each s1_id with a positive: half of these (one at least) from the top
+    of the score order, three tenths (one at least, of three and more) next to them, the rest by hash from what is left.
+    Others give nothing."""
     by_s1 = Window.partitionBy("s1_id")
     rows = pairs.withColumn("positives", F.sum("label").over(by_s1)).filter("positives > 0")
-    negative = rows.filter("label = 0").withColumns({"place": F.row_number().over(by_s1.orderBy(F.desc(score), "target_id")), "size": F.count("*").over(by_s1)})
-    third = F.floor(F.col("size") / 3)
-    band = F.when(F.col("place") <= top_n, 0).when((F.col("place") > third) & (F.col("place") <= 2 * third), 1).otherwise(2)
-    banded = negative.withColumn("band", band).withColumn("o", _order(settings.seed, "s1_id", "target_id"))
-    in_band = banded.withColumn("q", F.row_number().over(Window.partitionBy("s1_id", "band").orderBy("o", "target_id")))
-    limit = F.when(F.col("band") == 0, top_n).when(F.col("band") == 1, mid_n).otherwise(n - top_n - mid_n)
-    kept = in_band.filter(F.col("q") <= limit)
+    placed = rows.filter("label = 0").withColumns({"place": F.row_number().over(by_s1.orderBy(F.desc(score), "target_id")), "n": F.least(F.count("*").over(by_s1), F.lit(settings.banded_negatives))})
+    share = lambda x: F.greatest(F.lit(1), F.floor(F.lit(x) * F.col("n")))
+    sized = placed.withColumn("top", share(settings.top_share)).withColumn("near", F.col("top") + F.when(F.col("n") > 2, share(settings.middle_share)).otherwise(0))
+    rest = sized.withColumns({"far": F.col("place") > F.col("near"), "o": _order(settings.seed, "s1_id", "target_id")})
+    drawn = rest.withColumn("q", F.row_number().over(Window.partitionBy("s1_id", "far").orderBy("o", "target_id")))
+    kept = drawn.filter(~F.col("far") | (F.col("q") <= F.col("n") - F.col("near")))
     return rows.filter("label = 1").select("s1_id", "target_id", "label").unionByName(kept.select("s1_id", "target_id", "label"))
 
 

@@ -242,8 +242,8 @@ def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dec2_adaptive_prune",
-    f"WITH {_FLAGGED}, p AS (SELECT *, CAST(exact_name = 1 OR exact_address = 1 OR n >= 2 AS INT) AS strong, row_number() OVER (PARTITION BY s1_id ORDER BY round(CAST(cheap AS DOUBLE), 9) DESC, target_id) AS p1 FROM sc) "
-    "SELECT s1_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY strong DESC, p1) AS p2 FROM p WHERE p1 <= 25) WHERE p2 <= 15",
+    f"WITH {_FLAGGED}, p AS (SELECT *, CAST(exact_name = 1 OR exact_address = 1 OR n >= 2 AS INT) AS strong, round(CAST(cheap AS DOUBLE), 9) AS c, row_number() OVER (PARTITION BY s1_id ORDER BY CAST(exact_name = 1 OR exact_address = 1 OR n >= 3 AS INT) DESC, round(CAST(cheap AS DOUBLE), 9) DESC, target_id) AS p1 FROM sc) "
+    "SELECT s1_id, target_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY strong DESC, c DESC, target_id) AS p2 FROM p WHERE p1 <= 25) WHERE p2 <= 15",
 )
 def adaptive_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.adaptive_prune(flagged(spark, sf_dir).withColumn("cheap", F.round("cheap", 9))).select("s1_id", "target_id")

@@ -36,7 +36,7 @@ _EQ = lambda n: f"CAST({n}_1 <> '' AND {n}_1 = {n}_2 AS INT)"
 _NE = lambda n: f"CAST({n}_1 <> '' AND {n}_2 <> '' AND {n}_1 <> {n}_2 AS INT)"
 _P = (
     f"p AS MATERIALIZED (SELECT r.s1_id, r.target_id, r.prescore, round(r.prescore / {_SCALE}, 4) AS p, {_EQ('name_norm')} AS name_exact, {_NE('house_number')} AS house_conflict, {_NE('postal_candidate')} AS postal_conflict, "
-    f"{sql_jaccard('name_tokens_1', 'name_tokens_2')} AS name_jaccard, {sql_jaccard('address_tokens_1', 'address_tokens_2')} AS address_jaccard, CAST(t.s1_id IS NOT NULL AS INT) AS label, name_norm_1, name_norm_2, name_core_1, name_core_2, house_number_1, house_number_2, postal_candidate_1, postal_candidate_2 "
+    f"{sql_jaccard('name_tokens_1', 'name_tokens_2')} AS name_jaccard, {sql_jaccard('address_tokens_1', 'address_tokens_2')} AS address_jaccard, CAST(t.s1_id IS NOT NULL AS INT) AS label, name_norm_1, name_norm_2, name_core_1, name_core_2, house_number_1, house_number_2, postal_candidate_1, postal_candidate_2, address_norm_1, address_norm_2 "
     "FROM ranked r LEFT JOIN (SELECT DISTINCT s1_id, target_id FROM truth) t ON r.s1_id = t.s1_id AND r.target_id = t.target_id WHERE r.block_rank < 22), "
     "w AS MATERIALIZED (SELECT *, row_number() OVER s AS place, first_value(p) OVER s AS top1, coalesce(nth_value(p, 2) OVER (PARTITION BY s1_id ORDER BY p DESC, target_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0.0) AS top2 FROM p WINDOW s AS (PARTITION BY s1_id ORDER BY p DESC, target_id))"
 )
@@ -82,7 +82,7 @@ def margin_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dec6_ambiguous",
-    f"WITH {_P}, f AS (SELECT *, max(CAST(p BETWEEN 0.3 AND 0.7 AND place <= 3 AS INT)) OVER (PARTITION BY s1_id) AS u, max(CAST(place = 1 AND (name_jaccard >= 0.5) <> (address_jaccard >= 0.5) AS INT)) OVER (PARTITION BY s1_id) AS d FROM w) SELECT s1_id, target_id, place FROM f WHERE place <= 3 AND (u = 1 OR d = 1 OR (top2 > 0 AND round(top1 - top2, 6) <= 0.08))",
+    f"WITH {_P}, f AS (SELECT *, max(CAST(p BETWEEN 0.3 AND 0.7 AND place <= 3 AS INT)) OVER (PARTITION BY s1_id) AS u, max(CAST(place = 1 AND (name_core_1 <> '' AND name_core_1 = name_core_2) <> (address_norm_1 <> '' AND address_norm_1 = address_norm_2) AS INT)) OVER (PARTITION BY s1_id) AS d FROM w) SELECT s1_id, target_id, place FROM f WHERE place <= 3 AND (u = 1 OR d = 1 OR top1 - top2 <= 0.08::DOUBLE)",
 )
 def ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.ambiguous(scored(spark, sf_dir)).select("s1_id", "target_id", F.col("place").cast("long").alias("place"))
@@ -93,9 +93,9 @@ def ambiguous_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.ambiguous_wide(scored(spark, sf_dir)).select("s1_id", "target_id")
 
 
-@query("dec8_country_veto", f"WITH {_P} SELECT s1_id, target_id FROM (SELECT a.s1_id, a.target_id, x.country_norm AS c1, y.country_norm AS c2, name_jaccard FROM p a JOIN s1 x ON a.s1_id = x.entity_id JOIN tg y ON a.target_id = y.entity_id) WHERE c1 = c2 OR name_jaccard >= 0.9")
+@query("dec8_country_veto", f"WITH {_P} SELECT s1_id, target_id FROM (SELECT a.s1_id, a.target_id, a.p, x.country_norm AS c1, y.country_norm AS c2, name_jaccard, name_exact FROM p a JOIN s1 x ON a.s1_id = x.entity_id JOIN tg y ON a.target_id = y.entity_id) WHERE p >= 0.3 AND (c1 = c2 OR p >= 0.75 OR name_jaccard >= 0.9 OR name_exact = 1)")
 def country_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decisions.country_veto(scored(spark, sf_dir).withColumn("name_set", F.col("name_jaccard"))).select("s1_id", "target_id")
+    return decisions.country_veto(scored(spark, sf_dir).withColumn("name_set", F.col("name_jaccard")), 0.3).select("s1_id", "target_id")
 
 
 @query(
@@ -217,16 +217,16 @@ def split_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HARD = "5 * CAST(name_norm_1 = name_norm_2 AS INT) + 4 * CAST(name_core_1 = name_core_2 AS INT) + 3 * CAST(house_number_1 <> '' AND house_number_1 = house_number_2 AS INT) + 2 * CAST(postal_candidate_1 <> '' AND postal_candidate_1 = postal_candidate_2 AS INT)"
 
 
-@query("smp5_hard_negatives", f"WITH {_P}, h AS (SELECT *, {_HARD} AS hard, sum(label) OVER (PARTITION BY s1_id) AS pos FROM p) SELECT s1_id, target_id, label FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY hard DESC, target_id) AS place FROM h) WHERE label = 1 OR place <= greatest(3 * pos, 2)")
+@query("smp5_hard_negatives", f"WITH {_P}, h AS (SELECT *, {_HARD} AS hard, sum(label) OVER (PARTITION BY s1_id) AS pos FROM p) SELECT s1_id, target_id, label FROM (SELECT *, row_number() OVER (PARTITION BY s1_id, label ORDER BY hard DESC, target_id) AS place FROM h) WHERE label = 1 OR place <= greatest(3 * greatest(pos, 1), 2)")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.hard_negatives(scored(spark, sf_dir)).select("s1_id", "target_id", "label")
 
 
 @query(
     "smp6_banded_negatives",
-    f"WITH {_P}, a AS (SELECT *, sum(label) OVER (PARTITION BY s1_id) AS pos FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY prescore DESC, target_id) AS place, count(*) OVER (PARTITION BY s1_id) AS size FROM a WHERE pos > 0 AND label = 0), "
-    "b AS (SELECT *, md5('42|' || s1_id || '|' || target_id) AS o, CASE WHEN place <= 3 THEN 0 WHEN place > floor(size / 3) AND place <= 2 * floor(size / 3) THEN 1 ELSE 2 END AS band FROM n), "
-    "q AS (SELECT *, row_number() OVER (PARTITION BY s1_id, band ORDER BY o, target_id) AS q FROM b) SELECT s1_id, target_id, label FROM a WHERE pos > 0 AND label = 1 UNION ALL SELECT s1_id, target_id, label FROM q WHERE q <= CASE WHEN band = 0 THEN 3 WHEN band = 1 THEN 1 ELSE 2 END",
+    f"WITH {_P}, a AS (SELECT *, sum(label) OVER (PARTITION BY s1_id) AS pos FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY prescore DESC, target_id) AS place, least(count(*) OVER (PARTITION BY s1_id), 6) AS n FROM a WHERE pos > 0 AND label = 0), "
+    "b AS (SELECT *, greatest(1, floor(0.5 * n)) + CASE WHEN n > 2 THEN greatest(1, floor(0.3 * n)) ELSE 0 END AS near FROM n), "
+    "q AS (SELECT *, row_number() OVER (PARTITION BY s1_id, place > near ORDER BY md5('42|' || s1_id || '|' || target_id), target_id) AS q FROM b) SELECT s1_id, target_id, label FROM a WHERE pos > 0 AND label = 1 UNION ALL SELECT s1_id, target_id, label FROM q WHERE place <= near OR q <= n - near",
 )
 def banded_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.banded_negatives(scored(spark, sf_dir), "prescore")

@@ -204,3 +204,22 @@ def test_stream_goes_on_after_a_break(spark, dev, tmp_path):
         chunks.link_stream(spark, *places, link, file_format="parquet").awaitTermination()
     assert spark.read.parquet(places[1]).count() == 30
     assert chunks.next_mode(50, {"FULL": 100, "FAST": 20}) == "FAST"
+
+
+def test_common_key_does_not_multiply(spark):
+    """One name in thousands of records on each side: a query gets its first targets by id, and the join makes no more."""
+    from ravelin.config import Lists, Retrieval
+    from ravelin.operators import retrieval
+
+    def side(prefix, n):
+        return spark.range(n).selectExpr(
+            f"concat('{prefix}', lpad(id, 6, '0')) AS entity_id", "'us' AS country_norm", "'same name' AS name_norm", "'same' AS name_core", f"concat('{prefix} street ', id) AS address_norm", "'road 12345' AS address_raw"
+        )
+
+    s1, targets = side("S1-", 3000), side("S2-", 10_000)
+    exact = retrieval.exact_lists(s1, targets)
+    assert exact.count() == 3000 * Lists().exact_limit and exact.agg({"target_id": "max"}).first()[0] == "S2-000049"
+    found = spark.createDataFrame([("S1-000000", "S2-000000")], "s1_id string, target_id string")
+    more = retrieval.boosters(s1, targets, found)
+    assert more.count() == 3000 * Retrieval().boosters
+    assert sorted(r.target_id for r in more.filter("s1_id = 'S1-000000'").collect()) == [f"S2-{k:06d}" for k in range(1, 11)]
