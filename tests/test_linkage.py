@@ -223,3 +223,40 @@ def test_common_key_does_not_multiply(spark):
     more = retrieval.boosters(s1, targets, found)
     assert more.count() == 3000 * Retrieval().boosters
     assert sorted(r.target_id for r in more.filter("s1_id = 'S1-000000'").collect()) == [f"S2-{k:06d}" for k in range(1, 11)]
+
+
+def _copied(spark, copies):
+    """(S1, targets) with equal records, as they were read."""
+    kinds = [(f"Rose {w} {'Ltd' if k % 2 else ''}", f"{10 + k % 3} {('High', 'Low')[k % 2]} St 1000{k % 4}", ("US", "France")[k % 5 == 0]) for k, w in enumerate(["Bakery", "Garden", "Bakery", "Mill", "Hall", "Garden", "Inn", "Bakery"])]
+    kinds.append((None, None, None))
+    rows = [(f"S{(7 * c + k) % 3 + 1}-{c * 31 % 97:03d}{k:03d}", *kind) for c in range(copies) for k, kind in enumerate(kinds)]
+    return roles.split(spark.createDataFrame(rows, RECORD))
+
+
+@pytest.mark.parametrize("settings", [Settings(), Settings(blocking=Blocking(rare_df_cap=9, posting_cap=14)), Settings(blocking=Blocking(rare_df_cap=30, posting_cap=5))])
+def test_equal_records(spark, settings):
+    """Lists, scores and counts are those of the records themselves, whatever the caps."""
+    raw = _copied(spark, 6)
+    s1, targets = (normalize.spec(x) for x in raw)
+    pairs = candidates.sides(spec.candidate_table(s1, targets, settings, with_ann=False), s1, targets)
+    some = ["s1_id", "target_id", "block_rank", "prescore", "blocks", "block_count", "name_norm_1", "address_tokens_2"]
+    pairs = pairs.persist()
+    for k in (4, 22) if settings == Settings() else (4,):
+        want = sorted(map(repr, candidates.ranked(pairs, k, candidates.prescore()).select(some).collect()))
+        assert want and sorted(map(repr, spec.best_pairs(*raw, k, settings).select(some).collect())) == want
+    want = sorted(map(tuple, pairs.select("s1_id", "target_id", F.round(candidates.prescore(), 9)).collect()))
+    assert sorted(map(tuple, spec.scored_pairs(*raw, settings).collect())) == want
+    if settings.blocking.posting_cap != 14:
+        return
+    truth = raw[0].select(F.col("entity_id").alias("s1_id")).join(pairs.filter("hash(s1_id, target_id) % 3 = 0").groupBy("s1_id").agg(F.collect_list("target_id").alias("m")), "s1_id", "left")
+    truth = truth.select("s1_id", F.coalesce("m", F.array().cast("array<string>")).alias("matched"))
+    for row in spec.ablation(*raw, truth, settings).collect():
+        channels = {"A": blocking.EXACT, "B": blocking.EXACT + blocking.NUMERIC, "C": blocking.CHANNELS}[row.variant]
+        lists = blocking.candidates(s1, targets, channels, settings.blocking).groupBy("s1_id").agg(F.collect_set("target_id").alias("candidates"))
+        recall, stats = metrics.candidate_recall(truth, lists).first(), metrics.count_stats(truth.select("s1_id"), lists).first()
+        assert (row.micro_recall, row.macro_recall, row.avg_n, row.p95) == (*recall, stats.avg_n, stats.p95)
+
+
+def test_equal_records_do_not_multiply_pairs(spark):
+    few, many = (spec.profile_pairs(*map(spec.profiles, _copied(spark, n))).count() for n in (3, 12))
+    assert few == many > 0
