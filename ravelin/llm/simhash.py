@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.common import RID, arrow_rows, numbered, settle, sheltered, texts_of
+from ravelin.llm.common import RID, arrow_rows, exchanged, numbered, settle, sheltered, texts_of
 from ravelin.llm.components import components
 
 SEED = 42
@@ -208,7 +208,7 @@ def links(prints: DataFrame) -> DataFrame:
     more = buckets.filter("n > 2")
     if more.isEmpty():
         return found
-    members = keys.join(more.select("key", "n"), "key")
+    members = keys.join(exchanged(more.select("key", "n")), "key")
     small = members.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list("fp").alias("members")).select("members")
     found = found.unionByName(_verify_lists(small))
     if more.filter(F.col("n") > BUCKET).isEmpty():
@@ -237,9 +237,10 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = settle(fingerprints(docs, id_col, text_col))
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     joined = components(links(prints)).withColumnRenamed("node", "fp")
-    named = prints.join(joined, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = prints.join(exchanged(joined), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "fp").select(RID, "doc_id", "fp", "component_id", "root")
+    named = named.select("fp", "root").join(exchanged(least), "root").select("fp", "root", "component_id")
+    return rows.join(exchanged(named), "fp").select(RID, "doc_id", "fp", "component_id", "root")
 
 
 @sheltered
@@ -250,4 +251,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # a null id comes last
     order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", RID)
     first = groups.groupBy("root").agg(F.min(order).alias("o")).select(F.col(f"o.{RID}").alias(RID))
-    return rows.join(first, RID, "left_semi").select(*docs.columns)
+    return rows.join(exchanged(first), RID, "left_semi").select(*docs.columns)

@@ -14,6 +14,7 @@ import xxhash
 
 from ravelin.llm import langid, lm, media, packing, pieces, pii, quality, secrets, simhash, substring
 from ravelin.llm.common import RID, numbered
+from ravelin.llm.components import components
 from ravelin.llm.queries import tokenizer_file
 
 BPE = tokenizer_file("byte_bpe_50k.json")
@@ -785,3 +786,13 @@ def test_streaming_is_whole_viterbi():
         parts = list(model._stream(pieces.MARK + text.replace(" ", pieces.MARK)))
         assert [i for p in parts for i in p] == brute_viterbi(model, text)
     assert len(list(model._stream("ab" * 500))) > 1
+
+
+def test_groups_broadcast_nothing(spark):
+    """A broadcast side goes through the driver: joins of a table that grows exchange both sides, however small it is now."""
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(words[: 40 + k % 7] + words[k : k + 2 + k % 3])) for k in range(120)]
+    numbered_rows = numbered(spark.createDataFrame(rows, "doc_id long, text string"))
+    for out in (simhash.near_duplicate_groups(numbered_rows), simhash.keep_one(numbered_rows.drop("__ravelin_rid")), components(spark.range(50).selectExpr("id u", "id + 1 v"))):
+        out.collect()
+        assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
