@@ -260,3 +260,44 @@ def test_equal_records(spark, settings):
 def test_equal_records_do_not_multiply_pairs(spark):
     few, many = (spec.profile_pairs(*map(spec.profiles, _copied(spark, n))).count() for n in (3, 12))
     assert few == many > 0
+
+
+def test_rules_are_made_once_for_equal_entities(spark):
+    """A step over the pairs of an entity sees equal entities once, and its result is that over each one's own pairs."""
+    raw, seen = _copied(spark, 6), []
+    rule = lambda rows: decisions.gate(rows.withColumns({"p": F.col("prescore") / 16, "house_conflict": F.lit(0), "postal_conflict": F.lit(0), "name_exact": F.lit(1)}), 0.2, 0.3).select("s1_id", "target_id", "p")
+    got = spec.best_pairs(*raw, 4, then=lambda rows: (seen.append(rows.select("s1_id").distinct().count()), rule(rows))[1])
+    want = rule(spec.best_pairs(*raw, 4))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 0
+    # the record without any text has no pairs
+    assert seen == [raw[0].filter("business_name is not null").drop("entity_id").distinct().count()] and seen[0] < raw[0].count()
+
+
+def test_columns_kept_part_profiles(spark):
+    """Records that differ in a kept column only are not one; the lists stay."""
+    s1, targets = (x.withColumn("business", F.substring("entity_id", -1, 1).cast("int") % 2) for x in _copied(spark, 6))
+    got = spec.best_pairs(s1, targets, 4, keep=("business",))
+    known = targets.select(F.col("entity_id").alias("target_id"), "business")
+    assert got.join(known, "target_id").filter("NOT business <=> business_2").count() == 0
+    plain = spec.best_pairs(s1.drop("business"), targets.drop("business"), 4)
+    some = ("s1_id", "target_id", "block_rank", "prescore")
+    assert sorted(map(tuple, got.select(*some).collect())) == sorted(map(tuple, plain.select(*some).collect()))
+
+
+def test_truth_is_counted_not_listed(spark, tmp_path):
+    """Scores of entities come from counts: the same as from lists, and no pair of the truth is made."""
+    import re
+
+    from ravelin.queries import base
+    from ravelin.queries import decisions as queries
+
+    place = "/root/testdata/sf0.001/part.parquet"
+    part = spark.read.parquet(place)
+    rows = part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 1000)).withColumn("p_name", F.when(F.col("p_partkey") % 11 > 0, F.col("p_name")))
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    found = queries.scored(spark, str(tmp_path)).filter("p >= 0.45")
+    want = metrics.entity_scores(base.truth_lists(spark, str(tmp_path)), decisions.as_matches(found))
+    got = queries.entity_scores(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.filter("hit > 0").count() > 0
+    for frame in (got, queries.gate(spark, str(tmp_path))):
+        assert not re.search(r"collect_set|label", frame._jdf.queryExecution().optimizedPlan().toString())
