@@ -299,5 +299,5 @@ def test_truth_is_counted_not_listed(spark, tmp_path):
     want = metrics.entity_scores(base.truth_lists(spark, str(tmp_path)), decisions.as_matches(found))
     got = queries.entity_scores(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.filter("hit > 0").count() > 0
-    for frame in (got, queries.gate(spark, str(tmp_path))):
+    for frame in (got, queries.gate(spark, str(tmp_path)), spec.ablation(*roles.split(roles.records(spark, str(tmp_path), business=True)), None)):
         assert not re.search(r"collect_set|label", frame._jdf.queryExecution().optimizedPlan().toString())
