@@ -612,6 +612,24 @@ def test_near_passages_behind_strangers(spark):
     assert number >= 20 and found <= set(range(2, 3 * number, 3)) and len(found) >= 0.9 * number
 
 
+def test_near_passages_behind_many_strangers(spark):
+    """Earlier rows have a part of a near passage each, so that most signatures of it are theirs: other centres are tried, until
+    no new pair comes up."""
+    rows = []
+    for n in range(60):
+        words = [f"n{n}.{k}" for k in range(54)]
+        other = [*words[: 3 + n % 48], f"new{n}", *words[4 + n % 48 :]]
+        if not substring.verify(*(substring.word_hashes(" ".join(x)) for x in (words, other))):
+            continue
+        pad = lambda p: " ".join(f"{p}{n}.{k}" for k in range(55))  # noqa: B023, E731
+        for k, part in enumerate((words[:42], words[12:], words[6:48], words, other)):
+            rows.append((len(rows), f"{pad(f'p{k}x')} {' '.join(part)} {pad(f'q{k}x')}"))
+    found = {r.rid for r in substring.passages(numbered(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))).collect()}
+    later = set(range(4, len(rows), 5))
+    print("found", len(found & later), "of", len(later), sorted((r - 4) // 5 for r in later - found))
+    assert found <= later and len(later) >= 30 and len(found) >= 0.97 * len(later)
+
+
 def test_passage_twice_in_a_row(spark):
     """Both copies in the later row are found and cut; the first row keeps its own."""
     words = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
