@@ -301,3 +301,12 @@ def test_truth_is_counted_not_listed(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.filter("hit > 0").count() > 0
     for frame in (got, queries.gate(spark, str(tmp_path)), spec.ablation(*roles.split(roles.records(spark, str(tmp_path), business=True)), None)):
         assert not re.search(r"collect_set|label", frame._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_pairs_are_exchanged_without_columns(spark):
+    """No record's columns go with the pairs: hits have their scores' parts where they cross an exchange."""
+    import re
+
+    plan = spec.profile_pairs(*map(spec.profiles, _copied(spark, 3)))._jdf.queryExecution().optimizedPlan().toString()
+    head = plan[: re.search(r"RepartitionByExpression \[s1_id", plan).start()]
+    assert "Join" not in head and "tokens" not in head
