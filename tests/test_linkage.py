@@ -310,3 +310,26 @@ def test_pairs_are_exchanged_without_columns(spark):
     plan = spec.profile_pairs(*map(spec.profiles, _copied(spark, 3)))._jdf.queryExecution().optimizedPlan().toString()
     head = plan[: re.search(r"RepartitionByExpression \[s1_id", plan).start()]
     assert "Join" not in head and "tokens" not in head
+
+
+def test_pairs_are_limited_before_they_are_exchanged(spark):
+    """A task hands on its k best pairs of a profile at most, each once and without the records' columns."""
+    raw = _copied(spark, 3)
+    plan = spec.best_pairs(*raw, 4)._jdf.queryExecution().optimizedPlan().toString()
+    limits = [line for line in plan.splitlines() if "WindowGroupLimit" in line and "prescore" in line]
+    assert limits and "Repartition" not in "".join(plan.splitlines()[plan.splitlines().index(limits[-1]) + 1 :][:3])
+    first, other = map(spec.profiles, raw)
+    pairs = spec._whole_pairs(first, other, Settings())
+    assert pairs.count() == pairs.select("s1_id", "target_id").distinct().count() < blocking.hits(first.rows, other.rows, copies="copies").count()
+    assert not [c for c in pairs.columns if c.endswith(("_1", "_2"))]
+
+
+def test_pairs_hold_what_their_hits_held(spark):
+    """A pair that its first common key gives has the channels and the weight of all its hits, whatever the caps."""
+    for settings in (Blocking(), Blocking(rare_df_cap=9, posting_cap=14), Blocking(rare_df_cap=30, posting_cap=5), Blocking(same_country=False)):
+        first, other = (spec.profiles(x, Settings(blocking=settings)) for x in _copied(spark, 6))
+        sides = [p.rows.select(F.col("entity_id").alias(n)) for p, n in ((first, "s1_id"), (other, "target_id"))]
+        got = blocking.pairs(first.rows, other.rows, sides, {}, settings, other.weight)
+        want = blocking.merged(blocking.hits(first.rows, other.rows, settings=settings, copies=other.weight))
+        some = ("s1_id", "target_id", F.col("bits").cast("int"), F.round("rare_w", 9))
+        assert sorted(map(tuple, got.select(*some).collect())) == sorted(map(tuple, want.select(*some).collect())) != []
