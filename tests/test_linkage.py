@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ravelin.config import Blocking, Ranking, Settings
+from ravelin.functions.similarity import jaccard, numbers_of, set_jaccard
 from ravelin.operators import blocking, candidates, decisions, features, metrics, normalize, sampling, training, validation, vectors
 from ravelin.plans import spec
 from ravelin.sources import roles, tables
@@ -333,3 +334,16 @@ def test_pairs_hold_what_their_hits_held(spark):
         want = blocking.merged(blocking.hits(first.rows, other.rows, settings=settings, copies=other.weight))
         some = ("s1_id", "target_id", F.col("bits").cast("int"), F.round("rare_w", 9))
         assert sorted(map(tuple, got.select(*some).collect())) == sorted(map(tuple, want.select(*some).collect())) != []
+
+
+def test_kinds_are_made_once(spark):
+    """Records are normalized once for all that is made of them: what is left to run has the pairs alone."""
+    plan = spec.best_pairs(*_copied(spark, 3), 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan and "ArrowEvalPython" not in plan
+
+
+def test_sets_of_numbers_compare_like_tokens(spark):
+    rows = [(["a", "b", "b"], ["b", "c"]), ([], []), (["a"], []), (["x", "y"], ["y", "x", "x"]), ([], ["q"])]
+    for empty in (1.0, 0.0):
+        made = spark.createDataFrame(rows, "a array<string>, b array<string>").select(jaccard("a", "b", empty), set_jaccard(numbers_of("a"), numbers_of("b"), empty))
+        assert all(want == got for want, got in made.collect())
